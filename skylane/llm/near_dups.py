@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, small_batches, stage
@@ -148,6 +148,24 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _lone(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, lone) for those of the given documents that have them: how many of a set's shingles no other of these sets holds.
+
+    A set can have none of them in common with another, so this bounds its similarities without comparing pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingles(x, size).view(np.int64) for x in batch.column(1).to_pylist()], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "hashes"])
+
+    ids = stage(ids, "ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    each = texts.mapInArrow(run, "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
+    owners = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    return owners.filter("id = other").groupBy("id").agg(F.count("*").alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """Links documents (doc_id, text) whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -173,9 +191,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     ids = member.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").select("doc_id", "b")
     same_id = member.join(ids, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
 
+    def fits(most: Column, n_a: Column, n_b: Column) -> Column:
+        """Whether sets of these sizes that share at most so many shingles can be similar enough."""
+        return 100 * most >= percent * (n_a + n_b - most)
+
     def links(pairs: DataFrame) -> DataFrame:
         """Confirmed links among candidate pairs (a, b, n_a, n_b)."""
-        fit = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+        fit = pairs.filter(fits(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
         return stage(_confirmed(stage(_likely(fit, sketches, percent / 100), "likely"), rows, size, percent), "links")
 
     sizes = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")).dropDuplicates(["a"])
@@ -183,26 +205,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     found = links(star.join(sizes, "a")).union(same_id)
     components = stage(connected_components(found), "components")
     left = bucket.withColumn("done", F.col("id") == F.col("centre")).drop("centre")
-    spread = 8
+    lone, spread = None, 8
     while True:
         # Members that haven't been a centre yet, in buckets where two of them are in different components.
         label = left.filter(~F.col("done")).drop("done", "component").join(components.withColumnRenamed("node", "id"), "id", "left")
         label = label.withColumn("component", F.coalesce("component", "id"))
-        mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+        mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).filter("x < y").select("key", "least")
         left = stage(label.join(mixed, "key"), "buckets")
         if left.isEmpty():
             break
-        centres = left.groupBy("key", F.pmod(F.xxhash64("id", F.lit(spread)), F.lit(spread)).alias("salt")).agg(F.min(F.struct("id", "n", "component")).alias("c")).select("key", "c")
+        if lone is None:
+            lone = stage(_lone(left.select(F.col("id").alias("doc_id")).distinct(), rows, size), "lone")
+            left = left.join(lone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+            left = left.filter(fits(F.col("shared"), F.col("n"), F.col("least")))
+            left = stage(left, "buckets")
+        left = left.drop("least")
+        centres = left.groupBy("key", F.pmod(F.xxhash64("id", F.lit(spread)), F.lit(spread)).alias("salt")).agg(F.min(F.struct("id", "n", "shared", "component")).alias("c")).select("key", "c")
         centres = stage(centres, "centres")
         one, two = F.struct("id", "n"), F.struct("c.id", "c.n")
-        pairs = left.join(centres, "key").filter("component <> c.component").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
-        more = links(pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.n").alias("n_a"), F.col("two.n").alias("n_b")))
+        pairs = left.join(centres, "key").filter((F.col("component") != F.col("c.component")) & fits(F.least("shared", "c.shared"), F.col("n"), F.col("c.n"))).select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
+        pairs = stage(pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.n").alias("n_a"), F.col("two.n").alias("n_b")).distinct(), "pairs")
         was = centres.select("key", F.col("c.id").alias("id"), F.lit(True).alias("done"))
         left = left.join(was, ["key", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        if not more.isEmpty():
-            found = found.union(more)
-            components = stage(connected_components(found), "components")
-        spread *= 8
+        if not pairs.isEmpty():
+            more = links(pairs)
+            if not more.isEmpty():
+                found = found.union(more)
+                components = stage(connected_components(found), "components")
+        spread *= 16
     out = member.select("doc_id", "n_shingles", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
