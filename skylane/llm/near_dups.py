@@ -27,6 +27,8 @@ from .components import connected_components
 ROWS, BANDS = 5, 25
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
+#: Members from which a bucket counts as large, and owners up to which a shingle counts as rare in it.
+LARGE, RARE = 64, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = np.ones((2, 1), dtype=np.uint64)
@@ -148,22 +150,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _lone(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, lone) for those of the given documents that have them: how many of a set's shingles no other of these sets holds.
-
-    A set can have none of them in common with another, so this bounds its similarities without comparing pairs.
-    """
+def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, h): the shingles of the given documents (doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([shingles(x, size).view(np.int64) for x in batch.column(1).to_pylist()], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "hashes"])
 
-    ids = stage(ids, "ids")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    each = texts.mapInArrow(run, "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
-    owners = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    return owners.filter("id = other").groupBy("id").agg(F.count("*").alias("lone"))
+    return stage(texts.mapInArrow(run, "id long, hashes array<long>"), "owned").select("id", F.explode("hashes").alias("h"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
@@ -200,31 +196,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         fit = pairs.filter(fits(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
         return stage(_confirmed(stage(_likely(fit, sketches, percent / 100), "likely"), rows, size, percent), "links")
 
+    def bounded(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with cap, the most shingles they can share with another, without those that can't link; and the pairs that share a rare shingle.
+
+        A shingle that no other candidate has is shared with none. In large buckets, shingles of few owners count as not
+        shared either, and all pairs that share one of them are taken from the shingles themselves: few for each.
+        """
+        ids = stage(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
+        large = left.filter("large").groupBy("id").agg(F.min("n").alias("n"), F.min("component").alias("component"))
+        each = _owned(ids, rows, size)
+        owners = stage(each.groupBy("h").agg(F.count("*").alias("owners"), F.min("id").alias("id")).filter(F.col("owners") <= RARE), "owners")
+        lone = owners.filter("owners = 1").groupBy("id").agg(F.count("*").alias("lone"))
+        rare = stage(each.join(large, "id").join(owners.filter("owners > 1").select("h"), "h"), "rare")
+        few = rare.groupBy("id").agg(F.count("*").alias("rare"))
+        left = left.join(lone, "id", "left").join(few, "id", "left")
+        cap = F.col("n") - F.coalesce("lone", F.lit(0)) - F.when(F.col("large"), F.coalesce("rare", F.lit(0))).otherwise(0)
+        left = left.withColumn("cap", cap).drop("lone", "rare").filter(fits(F.col("cap"), F.col("n"), F.col("least")))
+        a, b = (rare.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in ("a", "b"))
+        return stage(left, "buckets"), a.join(b, "h").filter("a < b and c_a <> c_b").select("a", "b", "n_a", "n_b")
+
     sizes = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")).dropDuplicates(["a"])
     star = bucket.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
     found = links(star.join(sizes, "a")).union(same_id)
     components = stage(connected_components(found), "components")
     left = bucket.withColumn("done", F.col("id") == F.col("centre")).drop("centre")
-    lone, spread = None, 8
+    first_round, spread = True, 64
     while True:
         # Members that haven't been a centre yet, in buckets where two of them are in different components.
         label = left.filter(~F.col("done")).drop("done", "component").join(components.withColumnRenamed("node", "id"), "id", "left")
         label = label.withColumn("component", F.coalesce("component", "id"))
-        mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).filter("x < y").select("key", "least")
+        mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), (F.count("*") >= LARGE).alias("large")).filter("x < y").drop("x", "y")
         left = stage(label.join(mixed, "key"), "buckets")
         if left.isEmpty():
             break
-        if lone is None:
-            lone = stage(_lone(left.select(F.col("id").alias("doc_id")).distinct(), rows, size), "lone")
-            left = left.join(lone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-            left = left.filter(fits(F.col("shared"), F.col("n"), F.col("least")))
-            left = stage(left, "buckets")
-        left = left.drop("least")
-        centres = left.groupBy("key", F.pmod(F.xxhash64("id", F.lit(spread)), F.lit(spread)).alias("salt")).agg(F.min(F.struct("id", "n", "shared", "component")).alias("c")).select("key", "c")
+        rare_pairs = None
+        if first_round:
+            left, rare_pairs = bounded(left)
+            first_round = False
+        left = left.drop("least", "large")
+        centres = left.groupBy("key", F.pmod(F.xxhash64("id", F.lit(spread)), F.lit(spread)).alias("salt")).agg(F.min(F.struct("id", "n", "cap", "component")).alias("c")).select("key", "c")
         centres = stage(centres, "centres")
         one, two = F.struct("id", "n"), F.struct("c.id", "c.n")
-        pairs = left.join(centres, "key").filter((F.col("component") != F.col("c.component")) & fits(F.least("shared", "c.shared"), F.col("n"), F.col("c.n"))).select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
-        pairs = stage(pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.n").alias("n_a"), F.col("two.n").alias("n_b")).distinct(), "pairs")
+        pairs = left.join(centres, "key").filter((F.col("component") != F.col("c.component")) & fits(F.least("cap", "c.cap"), F.col("n"), F.col("c.n"))).select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
+        pairs = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.n").alias("n_a"), F.col("two.n").alias("n_b"))
+        pairs = stage((pairs if rare_pairs is None else pairs.union(rare_pairs)).distinct(), "pairs")
         was = centres.select("key", F.col("c.id").alias("id"), F.lit(True).alias("done"))
         left = left.join(was, ["key", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
         if not pairs.isEmpty():
