@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from skylane.functions.parsing import SPEED_LEVEL, speed_level
 
+from .staging import staged
+
 # Token patterns of the grammar.
 AIRWAY = r"^(?:U[A-Z][0-9]{1,4}|[A-Z][0-9]{1,4}[A-Z]?)$"
 WAYPOINT = r"^(?:[A-Z]{2,3}[0-9]{6}|[0-9]{2}[NS][0-9]{3}[EW]|[0-9]{4}[NS][0-9]{5}[EW]|(?!DCT$)[A-Z0-9]{2,5})$"
@@ -126,10 +128,12 @@ def expand_segments(parsed: DataFrame, airways: DataFrame) -> DataFrame:
     parsed has flight_id, parsed, lat, lon, ground_speed_kt and flight_level. A waypoint followed by an airway gives the
     airway's path to the next waypoint, or nothing if there is none; consecutive repeats are dropped.
     """
+    parsed = staged(parsed.select("flight_id", "parsed", "lat", "lon", "ground_speed_kt", "flight_level"), "parsed")  # the parser's expression is long
     rows = parsed.filter("parsed.valid").select("flight_id", "lat", "lon", F.coalesce("parsed.config.tas", F.when(F.col("parsed.config").isNull(), F.col("ground_speed_kt"))).alias("default_tas"), F.coalesce("parsed.config.level", F.when(F.col("parsed.config").isNull(), F.col("flight_level"))).alias("default_level"), F.posexplode("parsed.segments").alias("idx", "s"))
     rows = rows.select("flight_id", "lat", "lon", "default_tas", "default_level", "idx", "s.*")
     rows = running_values(rows, ("flight_id",)).withColumn("next", F.lead("ident").over(Window.partitionBy("flight_id").orderBy("idx")))
     single = F.col("via").isNull() | (F.col("via") == "DCT")
+    rows = staged(rows, "segments")
     direct = rows.filter(single).select("flight_id", "idx", F.lit(0).alias("sub"), "ident", "tas", "level", "lat", "lon")
     asked = rows.filter(~single).select("flight_id", "idx", "tas", "level", F.col("via").alias("airway_id"), F.col("ident").alias("start"), F.col("next").alias("end"))
     anchor = airways.select("airway_id", "id", "start_lat", "start_lon", F.explode(F.array("start_waypoint", "end_waypoint")).alias("start")).groupBy("airway_id", "start").agg(F.min_by(F.struct(F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")), "id").alias("a"))

@@ -319,9 +319,9 @@ def w10_w11_horizon_clip(spark, sf):
 _ALONG = """l0 AS (SELECT *, knots * 0.4e0 AS way, coalesce(sum(leg) OVER w0, 0) AS bef, coalesce(lag(level) OVER w, olevel) AS fl0, row_number() OVER (PARTITION BY flight_id ORDER BY n DESC) AS back FROM ah
   WINDOW w AS (PARTITION BY flight_id ORDER BY n), w0 AS (PARTITION BY flight_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l1 AS (SELECT *, leg >= 1e-12 AND way >= bef AND way < bef + leg AS o, (way - bef) / nullif(leg, 0) AS t FROM l0),
-l2 AS (SELECT *, max(CASE WHEN o THEN n END) OVER (PARTITION BY flight_id) AS at FROM l1)"""
-_ALONG_ROWS = f"""SELECT flight_id, round(CASE WHEN at IS NULL THEN lat ELSE flat + (lat - flat) * t END, 6) AS lat, CAST(CASE WHEN at IS NULL THEN level ELSE round_even(fl0 + (level - fl0) * t, 0) END AS INT) AS level,
-  CAST(trunc({bearing_sql('flat', 'flon', 'lat', 'lon')}) AS INT) AS track, round(CASE WHEN at IS NULL THEN 0 ELSE (level - fl0) * 100 / (leg / knots) END, 6) AS fpm FROM l2 WHERE n = at OR (at IS NULL AND back = 1)"""
+l2 AS (SELECT *, max(CASE WHEN o THEN n END) OVER (PARTITION BY flight_id) AS hit_n FROM l1)"""
+_ALONG_ROWS = f"""SELECT flight_id, round(CASE WHEN hit_n IS NULL THEN lat ELSE flat + (lat - flat) * t END, 6) AS lat, CAST(CASE WHEN hit_n IS NULL THEN level ELSE round_even(fl0 + (level - fl0) * t, 0) END AS INT) AS level,
+  CAST(trunc({bearing_sql('flat', 'flon', 'lat', 'lon')}) AS INT) AS track, round(CASE WHEN hit_n IS NULL THEN 0 ELSE (level - fl0) * 100 / (leg / knots) END, 6) AS fpm FROM l2 WHERE n = hit_n OR (hit_n IS NULL AND back = 1)"""
 
 
 @query(_ALONG_ROWS, *_WAY, _ALONG)

@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
+from skylane.plans import more_queries  # noqa: F401  registers more
 from skylane.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "part", "supplier", "customer", "orders")
+TABLES = ("events", "part", "supplier", "customer", "orders", "nation")
 
 
 def _text(v):
