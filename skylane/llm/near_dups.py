@@ -151,15 +151,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, h): the shingles of the given documents (doc_id)."""
+    """(id, h, large, n, component): the shingles of the documents of ids (doc_id and the last three)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([shingles(x, size).view(np.int64) for x in batch.column(1).to_pylist()], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["id", "hashes", "large", "n", "component"])
 
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return stage(texts.mapInArrow(run, "id long, hashes array<long>"), "owned").select("id", F.explode("hashes").alias("h"))
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "large", "n", "component")
+    sets = stage(texts.mapInArrow(run, "id long, hashes array<long>, large boolean, n long, component long"), "owned")
+    return sets.select("id", F.explode("hashes").alias("h"), "large", "n", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
@@ -202,12 +203,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         A shingle that no other candidate has is shared with none. In large buckets, shingles of few owners count as not
         shared either, and all pairs that share one of them are taken from the shingles themselves: few for each.
         """
-        ids = stage(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
-        large = left.filter("large").groupBy("id").agg(F.min("n").alias("n"), F.min("component").alias("component"))
+        ids = stage(left.groupBy(F.col("id").alias("doc_id")).agg(F.max("large").alias("large"), F.min("n").alias("n"), F.min("component").alias("component")), "ids")
         each = _owned(ids, rows, size)
         owners = stage(each.groupBy("h").agg(F.count("*").alias("owners"), F.min("id").alias("id")).filter(F.col("owners") <= RARE), "owners")
         lone = owners.filter("owners = 1").groupBy("id").agg(F.count("*").alias("lone"))
-        rare = stage(each.join(large, "id").join(owners.filter("owners > 1").select("h"), "h"), "rare")
+        rare = stage(each.filter("large").join(owners.filter("owners > 1").select("h"), "h"), "rare")
         few = rare.groupBy("id").agg(F.count("*").alias("rare"))
         left = left.join(lone, "id", "left").join(few, "id", "left")
         cap = F.col("n") - F.coalesce("lone", F.lit(0)) - F.when(F.col("large"), F.coalesce("rare", F.lit(0))).otherwise(0)
