@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stage
 
 WINDOW, MOST = 128, 8
 
@@ -102,22 +102,26 @@ def dictionaries(ordinary: list[bytes], toxic: list[bytes], size: int = 16384, r
     return ToxicityModel(plain[-3 * size // 4 :] or b" ", b" ".join([b"", *sorted(segments, key=lambda w: (segments[w], w)), b""]))
 
 
-def fit(labelled: DataFrame, sample: int = 30_000, toxic_windows: int = 50_000, ordinary_windows: int = 60_000) -> ToxicityModel:
-    """Learns from (doc_id, text, toxic) rows; null texts and labels are left out.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, toxic_windows: int = 50_000, ordinary_windows: int = 60_000) -> ToxicityModel:
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic); null ids, texts and labels are left out, of repeated labels the greatest counts.
 
-    About ``sample`` rows are taken by a hash of the id, all if there are fewer; dictionaries are trained on at most the
-    given numbers of their distinct windows, again taken by a hash. Without labelled rows every score is 0.5.
+    About ``sample`` labels are taken by a hash of the id, all if there are fewer, so their list is small enough to be
+    sent to the documents; dictionaries are trained on at most the given numbers of distinct windows, again taken by a
+    hash. Without labelled rows every score is 0.5.
     """
-    known = labelled.select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int")).filter("text is not null and toxic is not null")
-    share = min(1.0, sample / max(1, known.select("doc_id").count()))
-    taken = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic")
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic is not null")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, sample / max(1, known.count()))
+    ids = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    taken = stage(rows.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "taught")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(w, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows(x)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], type=pa.binary()), pa.array([t for _, t in found], type=pa.int32())], names=["window", "toxic"])
 
-    small_batches(labelled.sparkSession)
+    small_batches(docs.sparkSession)
     cuts = taken.mapInArrow(cut, "window binary, toxic int").distinct()
     some = lambda toxic, n: [bytes(r.window) for r in cuts.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("window"), "window").limit(n).collect()]
     model = dictionaries(some(0, ordinary_windows), some(1, toxic_windows))

@@ -79,10 +79,10 @@ def test_quality(spark, docs, empty):
 
 def test_toxicity(spark, docs, empty):
     taught = spark.createDataFrame([(i, f"calm words number {i} go by", 0) for i in range(40)] + [(i, f"awful {i} gremlin {i * 7} words", 1) for i in range(40, 80)] + [(90, None, 1), (91, "x", None)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(taught)
+    model = toxicity.fit(taught, taught)
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert got[1].score == got[2].score and 0 <= got[5].score <= 1 and got[1].windows == 0
-    assert toxicity.score(empty, toxicity.fit(taught.limit(0))).count() == 0
+    assert toxicity.score(empty, toxicity.fit(taught.limit(0), taught.limit(0))).count() == 0
 
 
 def test_pii(docs, empty):
