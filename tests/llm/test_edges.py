@@ -73,7 +73,10 @@ def test_language(spark, docs, empty):
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
-    assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[5].n_repeat_words == 20_000 and got[6].kept
+    assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[5].n_repeat_words == 20_000
+    assert got[6].n_words == got[6].n_repeat_words == 120 and got[6].base_failed and not got[6].kept  # three words, 40 times
+    clean = spark.createDataFrame([(7, " ".join(f"word{i}" for i in range(30)))], "doc_id long, text string")
+    assert quality.judge(clean, labels.limit(0)).first().kept
     assert quality.judge(empty, labels.limit(0)).count() == 0
 
 
