@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_batches, stage
+from .common import BROADCAST_ROWS, partitions, small_batches, stage
 from .components import connected_components
 
 ROWS, BANDS = 5, 25
@@ -151,7 +151,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, h, large, n, component): the shingles of the documents of ids (doc_id and the last three)."""
+    """(id, h, large, n, component): the shingles of the documents of ids (doc_id and the last three).
+
+    Documents of a bucket often lie together in the input, so their sets are dealt anew before shingles become rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +162,8 @@ def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["id", "hashes", "large", "n", "component"])
 
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "large", "n", "component")
-    sets = stage(texts.mapInArrow(run, "id long, hashes array<long>, large boolean, n long, component long"), "owned")
+    sets = texts.mapInArrow(run, "id long, hashes array<long>, large boolean, n long, component long").repartition(partitions(docs))
+    sets = stage(sets, "owned")
     return sets.select("id", F.explode("hashes").alias("h"), "large", "n", "component")
 
 
