@@ -23,8 +23,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of every group of near duplicates."""
-    kept = near_dups.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    """Keeps the document of the smallest id of every group of near duplicates, of 5-word shingles alike by 0.8."""
+    kept = near_dups.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 

@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     Returns a row for each row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself
     included), kept (doc_id = component_id). Documents without words are linked with nothing. Rows that share a doc_id
     count as one document that has each of their texts. A null doc_id isn't linked: its component_id is null and it is
-    kept. An empty table gives no rows; other columns are ignored. The chance to miss a link is below one in a million
-    at the threshold and smaller above it.
+    kept. An empty table gives no rows; other columns are ignored. The chance to miss a link is smaller
+    the more similar it is: at the threshold below one in a million for percent = 85, about 5 in 100,000 for 80.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

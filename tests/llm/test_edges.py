@@ -145,6 +145,24 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_pipeline_removes_copies_above_four_fifths(spark):
+    """Bases of 200 words, copies with four scattered changed words (Jaccard 0.81) and with six (0.73), against all pairs."""
+    import corpus_pipeline
+
+    rows = []
+    for g in range(8):
+        words = [f"g{g}w{i}" for i in range(200)]
+        for k, n in enumerate((0, 4, 6)):
+            changed = [f"g{g}x{k}y{i}" if i % 33 == 10 and i // 33 < n else w for i, w in enumerate(words)]
+            rows.append((10 * g + k, " ".join(changed), "en", "x", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {r[0]: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in rows for w in [r[1].split()]}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.80 < alike(10 * g, 10 * g + 1) < 0.85 for g in range(8))
+    want = {b for b in sets if not any(a < b and alike(a, b) >= 0.8 for a in sets)}
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == want
+
+
 def test_components(spark):
     rows = [(3, 2), (2, 1), (9, 8), (7, 8), (5, 5), (1, 3), (None, 4)] + [(i, i + 1) for i in range(20, 60)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
