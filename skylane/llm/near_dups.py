@@ -151,20 +151,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, h, large, n, component): the shingles of the documents of ids (doc_id and the last three).
+    """(id, print, hashes, large, component): the shingle sets of the rows of ids (doc_id, large, component).
 
     Documents of a bucket often lie together in the input, so their sets are dealt anew before shingles become rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shingles(x, size).view(np.int64) for x in batch.column(1).to_pylist()], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["id", "hashes", "large", "n", "component"])
+            found = [shingles(x, size) for x in batch.column(1).to_pylist()]
+            prints = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], type=pa.binary())
+            hashes = pa.array([x.view(np.int64) for x in found], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, hashes, *batch.columns[2:]], names=["id", "print", "hashes", "large", "component"])
 
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "large", "n", "component")
-    sets = texts.mapInArrow(run, "id long, hashes array<long>, large boolean, n long, component long").repartition(partitions(docs))
-    sets = stage(sets, "owned")
-    return sets.select("id", F.explode("hashes").alias("h"), "large", "n", "component")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "large", "component")
+    sets = texts.mapInArrow(run, "id long, print binary, hashes array<long>, large boolean, component long").repartition(partitions(docs))
+    return stage(sets, "owned")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
@@ -206,20 +207,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
 
         A shingle that no other candidate has is shared with none. In large buckets, shingles of few owners count as not
         shared either, and all pairs that share one of them are taken from the shingles themselves: few for each.
+        Rows that repeat an id's text list its shingles again, so owners are told apart by id and shingles counted once;
+        an id with different texts keeps its size as cap, since its shingles aren't told apart by text.
         """
-        ids = stage(left.groupBy(F.col("id").alias("doc_id")).agg(F.max("large").alias("large"), F.min("n").alias("n"), F.min("component").alias("component")), "ids")
-        each = _owned(ids, rows, size)
-        owners = stage(each.groupBy("h").agg(F.count("*").alias("owners"), F.min("id").alias("id")).filter(F.col("owners") <= RARE), "owners")
-        lone = owners.filter("owners = 1").groupBy("id").agg(F.count("*").alias("lone"))
-        rare = stage(each.filter("large").join(owners.filter("owners > 1").select("h"), "h"), "rare")
+        ids = stage(left.groupBy(F.col("id").alias("doc_id")).agg(F.max("large").alias("large"), F.min("component").alias("component")), "ids")
+        owned = _owned(ids, rows, size)
+        several = owned.groupBy("id").agg((F.min("print") < F.max("print")).alias("several")).filter("several")
+        each = owned.select("id", F.explode("hashes").alias("h"), "large", F.size("hashes").cast("long").alias("n"), "component")
+        owners = stage(each.groupBy("h").agg(F.count("*").alias("owners"), F.min("id").alias("id"), F.max("id").alias("other")).filter(F.col("owners") <= RARE), "owners")
+        lone = owners.filter("id = other").groupBy("id").agg(F.count("*").alias("lone"))
+        rare = stage(each.filter("large").join(owners.filter("id < other").select("h"), "h").distinct(), "rare")
         few = rare.groupBy("id").agg(F.count("*").alias("rare"))
-        left = left.join(lone, "id", "left").join(few, "id", "left")
-        cap = F.col("n") - F.coalesce("lone", F.lit(0)) - F.when(F.col("large"), F.coalesce("rare", F.lit(0))).otherwise(0)
-        left = left.withColumn("cap", cap).drop("lone", "rare").filter(fits(F.col("cap"), F.col("n"), F.col("least")))
+        left = left.join(lone, "id", "left").join(few, "id", "left").join(several, "id", "left")
+        out = F.coalesce("lone", F.lit(0)) + F.when(F.col("large"), F.coalesce("rare", F.lit(0))).otherwise(0)
+        cap = F.col("n") - F.when(F.col("several"), 0).otherwise(out)
+        left = left.withColumn("cap", cap).drop("lone", "rare", "several").filter(fits(F.col("cap"), F.col("n"), F.col("least")))
         a, b = (rare.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in ("a", "b"))
         return stage(left, "buckets"), a.join(b, "h").filter("a < b and c_a <> c_b").select("a", "b", "n_a", "n_b")
 
-    sizes = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")).dropDuplicates(["a"])
+    sizes = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")).distinct()
     star = bucket.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
     found = links(star.join(sizes, "a")).union(same_id)
     components = stage(connected_components(found), "components")
@@ -244,8 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         pairs = left.join(centres, "key").filter((F.col("component") != F.col("c.component")) & fits(F.least("cap", "c.cap"), F.col("n"), F.col("c.n"))).select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
         pairs = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.n").alias("n_a"), F.col("two.n").alias("n_b"))
         pairs = stage((pairs if rare_pairs is None else pairs.union(rare_pairs)).distinct(), "pairs")
-        was = centres.select("key", F.col("c.id").alias("id"), F.lit(True).alias("done"))
-        left = left.join(was, ["key", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        was = centres.select("key", F.col("c.id").alias("id"), F.col("c.n").alias("n"), F.lit(True).alias("done"))
+        left = left.join(was, ["key", "id", "n"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
         if not pairs.isEmpty():
             more = links(pairs)
             if not more.isEmpty():

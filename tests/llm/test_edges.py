@@ -145,6 +145,26 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Copies alike to a base only, which isn't the first centre: every row twice, or every id with a further text; against all pairs."""
+    rows = []
+    for g, further in enumerate((False, True)):
+        words = [f"g{g}w{i}" for i in range(200)]
+        for k in range(90):
+            changed = [f"g{g}x{k}y{i}" if i in (6 + k % 60, 70 + (k + k // 60 * 13) % 60, 134 + k % 60) else w for i, w in enumerate(words)]
+            rows.append((100 * g + k, " ".join(changed)))
+            rows.append((100 * g + k, " ".join(f"g{g}o{k}y{i}" for i in range(24)) if further else rows[-1][1]))
+        rows += [(100 * g + 95, " ".join(words))] * 2
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(i, set()).add(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    linked = {(a, b) for a in sets for b in sets if a < b and any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b])}
+    assert linked == {(100 * g + k, 100 * g + 95) for g in range(2) for k in range(90)}
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {i: i // 100 * 100 for i in sets}
+
+
 def test_pipeline_removes_copies_above_four_fifths(spark):
     """Bases of 200 words, copies with four scattered changed words (Jaccard 0.81) and with six (0.73), against all pairs."""
     import corpus_pipeline
