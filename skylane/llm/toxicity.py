@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of toxic text. From the toxic one
-every segment goes that ordinary windows hold about as often, since toxic texts are ordinary text for the most part; the
-rest is put in front of the ordinary dictionary, so that both explain ordinary text alike and differ in toxic segments
+Two zstandard dictionaries are made, one trained on windows of ordinary text and one of the words of toxic windows. From
+the toxic one every word goes that ordinary windows hold about as often, since toxic texts are ordinary text for the most
+part; the rest is put in front of the ordinary dictionary, so that both explain ordinary text alike and differ in toxic segments
 only. A window is compressed with both; the bytes that the toxic dictionary saves are its evidence. Thresholds on the
 savings are calibrated on labelled documents: how many windows of a document save at least 1, 2, ... bytes, and how many
 windows it has, are weighed by a logistic regression whose value is the document's score.
@@ -81,21 +81,26 @@ def _contexts(samples: list[bytes], shortest: int) -> Counter:
     return Counter(w[:n] for _, w in pairs for n in range(shortest, len(w) + 1))
 
 
-def dictionaries(ordinary: list[bytes], toxic: list[bytes], size: int = 16384, ratio: float = 10, least: int = 5, part: float = 0.04, shortest: int = 4) -> ToxicityModel:
-    """Trains both dictionaries and prunes the toxic one.
+def _by_chance(n: int, m: int, rate: float) -> float:
+    """Probability that n or more of n + m contexts are toxic ones for a beginning as frequent in rate times as many ordinary windows."""
+    q, every = rate / (1 + rate), n + m
+    return sum(math.exp(math.lgamma(every + 1) - math.lgamma(k + 1) - math.lgamma(every - k + 1) + k * math.log(q) - (every - k) * math.log1p(rate)) for k in range(m + 1))
 
-    Of its words those stay that have a beginning which stands in at least ``least`` contexts in toxic windows (and
-    the given part of those of the most frequent such beginning), and in ratio times as many as in ordinary ones, given their numbers. Words that share their shortest such beginning are cut
+
+def dictionaries(ordinary: list[bytes], toxic: list[bytes], size: int = 16384, ratio: float = 10, least: int = 5, chance: float = 1e-5, shortest: int = 4) -> ToxicityModel:
+    """Trains the ordinary dictionary and makes the toxic one of the words of toxic windows.
+
+    Of these words those stay that have a beginning which stands in at least ``least`` contexts in toxic windows and in
+    ratio times as many as in ordinary ones, given their numbers, which a beginning equally frequent in both would reach with a probability of at
+    most ``chance``. So each is judged by its own contexts, however frequent others are. Words that share their shortest such beginning are cut
     to what they have in common, so that no ordinary ending is left in the toxic dictionary.
     """
     plain = _trained(size, ordinary) if ordinary else b""
     in_toxic, in_plain = _contexts(toxic, shortest), _contexts(ordinary, shortest)
     rate = len(ordinary) / max(1, len(toxic))
-    least = max(least, int(part * max([0, *(n for x, n in in_toxic.items() if len(x) > shortest and n * rate >= ratio * (in_plain[x] + 0.1))])))
-    marked = lambda x: in_toxic[x] >= least and in_toxic[x] * rate >= ratio * (in_plain[x] + 0.1)
+    marked = lambda x: in_toxic[x] >= least and in_toxic[x] * rate >= ratio * (in_plain[x] + 0.1) and _by_chance(in_toxic[x], in_plain[x], rate) <= chance
     alike: dict[bytes, list[bytes]] = {}
-    whole = {w for x in toxic for w in x.split()}  # the trainer also cuts inside of words
-    for w in whole.intersection(_trained(8 * size, toxic).split()) if toxic else ():
+    for w in {w for x in toxic for w in x.split()}:  # all of them: a trainer would leave rare ones out beside frequent ones
         if (of := next((w[:n] for n in range(shortest, len(w) + 1) if marked(w[:n])), None)) and marked(w):
             alike.setdefault(of, []).append(w)
     segments = {os.path.commonprefix(words): in_toxic[of] for of, words in alike.items()}

@@ -88,6 +88,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(taught.limit(0), taught.limit(0))).count() == 0
 
 
+def test_toxicity_keeps_rare_words_beside_a_frequent_one():
+    """A marker in 3,000 contexts leaves words of 40 contexts in the dictionary; words as frequent in ordinary windows stay out."""
+    ordinary = [f" calm{i} plain{i % 50} talk{i % 90} goes{i} on ".encode() for i in range(4000)]
+    often = [f" calm{i} gremlin plain{i % 50} goes{i} on ".encode() for i in range(3000)]
+    rare = [f" calm{i} {w} talk{i % 90} goes{i} on ".encode() for w in ("wretched", "vermin") for i in range(40)]
+    model = toxicity.dictionaries(ordinary, often + rare)
+    assert {b"gremlin", b"wretched", b"vermin"} <= set(model.toxic.split()) and b"plain" not in model.toxic
+    assert all(sum(model.savings()(f"calm words {w} go by")) > 0 for w in ("gremlin", "wretched", "vermin"))
+
+
 def test_pii(docs, empty):
     assert {r.doc_id: len(r.spans) for r in pii.find_pii(docs).collect()}[1] == 0
     assert pii.find_pii(empty).count() == 0
