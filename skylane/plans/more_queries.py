@@ -194,11 +194,13 @@ def s1_k10_csv_round_trip(spark, sf):
 def r3_stream_latest(spark, sf):
     """The stream's result after all samples, equal to the batch form."""
     rows = demo.positions(spark, sf).withColumnRenamed("ts", "sample_time").select("sample_time", "event_id", "flight_id", "lat", "lon")
-    path, name = _shared(spark), f"latest_{uuid.uuid4().hex}"
+    path, out = _shared(spark), _shared(spark)
     rows.write.parquet(path)
     stream = replay.stream_latest(replay.stream_samples(spark, path, rows.schema, 1000))
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("flight_id", "event_id")
+    # In complete mode each batch is the whole result, so the last one replaces the others; a repeated batch writes the same.
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/latest")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/latest").select("flight_id", "event_id")
 
 
 @query("SELECT count(*) AS pairs, count(DISTINCT flight_id_1) AS flights FROM (SELECT a.flight_id AS flight_id_1 FROM latest a JOIN latest b ON a.flight_id < b.flight_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 300000000 AND " + hav_nm("a.lat", "a.lon", "b.lat", "b.lon") + " / (a.gs + b.gs) <= 0.5)", P, L)
