@@ -542,8 +542,8 @@ def e1_j14_match_events(spark, sf):
     return events.match_events(_predictions(spark, sf), demo.conflict_events(spark, sf)).select("flight_id_1", "flight_id_2", "ordinal", "event_id")
 
 
-def _predictions(spark, sf) -> DataFrame:
-    rows = demo.conflict_events(spark, sf).filter("id % 50 = 0")  # a prediction for each fiftieth event
+def _predictions(spark, sf, every: int = 50) -> DataFrame:
+    rows = demo.conflict_events(spark, sf).filter(F.col("id") % every == 0)  # a prediction for each fiftieth event, or for all
     w = Window.partitionBy(events.pair_key(F.col("flight_id_1"), F.col("flight_id_2"))).orderBy("id")
     zero = F.lit(0.0)
     return rows.select("flight_id_1", "flight_id_2", F.row_number().over(w).alias("ordinal"), (F.coalesce("middle_point_lat", F.lit(45.0)) + 0.1).alias("middle_lat"), F.coalesce("middle_point_lon", F.lit(5.0)).alias("middle_lon"), zero.alias("horizontal_nm"), zero.alias("vertical_nm"), F.coalesce("remaining_time", zero).alias("remaining_time"))

@@ -1,0 +1,32 @@
+"""The same queries over all rows: where a query's SQL takes a part of them, this is the whole, with SQL of its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skylane.operators import events
+
+from . import demo
+from .more_queries import _NOW
+from .queries import ORACLE_SQL, _predictions, query, r6
+
+
+def _whole(name: str, part: str, all_: str = "") -> str:
+    """The SQL of a query with what limits its rows replaced."""
+    assert part in ORACLE_SQL[name]
+    return ORACLE_SQL[name].replace(part, all_)
+
+
+# Events: each is a prediction
+
+
+@query(_whole("e1_j14_match_events", " WHERE id % 50 = 0"))
+def e1_j14_match_events_whole(spark, sf):
+    return events.match_events(_predictions(spark, sf, 1), demo.conflict_events(spark, sf)).select("flight_id_1", "flight_id_2", "ordinal", "event_id")
+
+
+@query(_whole("e1_reconcile_events", " WHERE id % 50 = 0"))
+def e1_reconcile_events_whole(spark, sf):
+    predicted = _predictions(spark, sf, 1)
+    rows = events.reconcile(predicted, demo.conflict_events(spark, sf), predicted.select("flight_id_1", "flight_id_2"), F.lit(_NOW).cast("timestamp"))
+    return rows.select("id", *r6(lat=F.col("middle_point_lat")), "active")

@@ -13,3 +13,7 @@ def test_stream_writes_to_the_shared_folder(spark):
     files = [x.removeprefix("file://") for x in QUERIES["r3_stream_latest"](spark, SF).inputFiles()]
     assert files and all(x.startswith(f"{shared}/") and x.endswith(".parquet") for x in files)
     assert os.path.isdir(f"{os.path.dirname(os.path.dirname(files[0]))}/checkpoint/offsets")
+
+
+def test_every_event_is_a_prediction(spark):
+    assert QUERIES["e1_j14_match_events_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
