@@ -110,5 +110,5 @@ def navaids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("W"), (k % 60).cast("string")).alias("identificator"), (44.0 + (k * 41 % 900) / F.lit(100.0)).alias("lat"), (4.0 + (k * 23 % 1700) / F.lit(100.0)).alias("lon"))
 
 
-def asked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions(spark, sf_dir).filter("event_id % 10 = 0").select("event_id", F.concat(F.lit("W"), (F.col("event_id") % 70).cast("string")).alias("ident"), "lat", "lon")
+def asked_points(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+    return positions(spark, sf_dir).filter(F.col("event_id") % every == 0).select("event_id", F.concat(F.lit("W"), (F.col("event_id") % 70).cast("string")).alias("ident"), "lat", "lon")

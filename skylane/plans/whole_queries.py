@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylane.operators import events
+from skylane.operators import events, navpoints
 
 from . import demo
 from .more_queries import _NOW
@@ -30,3 +30,24 @@ def e1_reconcile_events_whole(spark, sf):
     predicted = _predictions(spark, sf, 1)
     rows = events.reconcile(predicted, demo.conflict_events(spark, sf), predicted.select("flight_id_1", "flight_id_2"), F.lit(_NOW).cast("timestamp"))
     return rows.select("id", *r6(lat=F.col("middle_point_lat")), "active")
+
+
+# Points: each position is asked for
+
+
+@query(_whole("j7_nearest_by_name", " WHERE event_id % 10 = 0"))
+def j7_nearest_by_name_whole(spark, sf):
+    rows = navpoints.nearest_by_name(demo.asked_points(spark, sf, 1), demo.fixes(spark, sf), ["event_id"])
+    return rows.select("event_id", "point_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(_whole("j9_nearest_of_either", " WHERE event_id % 10 = 0"))
+def j9_nearest_of_either_whole(spark, sf):
+    return navpoints.nearest_of_either(demo.asked_points(spark, sf, 1), demo.fixes(spark, sf), demo.navaids(spark, sf), ["event_id"]).select("event_id", "src", "point_id")
+
+
+@query(_whole("j8_point_precedence", " WHERE event_id % 10 = 0"))
+def j8_point_precedence_whole(spark, sf):
+    asked = demo.asked_points(spark, sf, 1).withColumn("ident", F.when(F.col("event_id") % 20 == 0, F.lit("5230N02000E")).otherwise(F.col("ident")))
+    found = navpoints.resolve_points(asked, demo.fixes(spark, sf), demo.navaids(spark, sf), ["event_id"])
+    return found.select("event_id", *r6(point_lat=F.col("point.lat"), point_lon=F.col("point.lon")))

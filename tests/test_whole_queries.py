@@ -17,3 +17,7 @@ def test_stream_writes_to_the_shared_folder(spark):
 
 def test_every_event_is_a_prediction(spark):
     assert QUERIES["e1_j14_match_events_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_every_position_is_asked_for(spark):
+    assert QUERIES["j8_point_precedence_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
