@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylane.operators import events, navpoints
+from skylane.operators import blocking, boundaries, conflicts, events, motion, navpoints
 
 from . import demo
 from .more_queries import _NOW
-from .queries import ORACLE_SQL, _predictions, query, r6
+from .queries import _NM, ORACLE_SQL, SKEW_S, L, _ahead, _predictions, query, r6
 
 
 def _whole(name: str, part: str, all_: str = "") -> str:
@@ -51,3 +52,70 @@ def j8_point_precedence_whole(spark, sf):
     asked = demo.asked_points(spark, sf, 1).withColumn("ident", F.when(F.col("event_id") % 20 == 0, F.lit("5230N02000E")).otherwise(F.col("ident")))
     found = navpoints.resolve_points(asked, demo.fixes(spark, sf), demo.navaids(spark, sf), ["event_id"])
     return found.select("event_id", *r6(point_lat=F.col("point.lat"), point_lon=F.col("point.lon")))
+
+
+# Pairs: all flights that can meet, as blocking finds them
+
+_CAN_MEET = f"a.flight_id < b.flight_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < {SKEW_S * 1_000_000} AND {_NM} / (a.gs + b.gs) <= 0.25"
+_NUMBERS = "a.user_id < b.user_id AND b.user_id <= a.user_id + 20"
+_PAIRED = "SELECT user_id // 2 AS pair, user_id % 2 + 1 AS side, n, c.lat, c.lon, c.level, entry_h, c.knots FROM clip c JOIN st USING (flight_id)"
+_MET = f"""{L},
+cd AS (SELECT a.flight_id AS one, b.flight_id AS two FROM latest a JOIN latest b ON {_CAN_MEET}),
+sd AS (SELECT pair, side, n, c.lat, c.lon, c.level, entry_h, c.knots FROM clip c JOIN (SELECT one || '-' || two AS pair, 1 AS side, one AS flight_id FROM cd UNION ALL SELECT one || '-' || two, 2, two FROM cd) USING (flight_id)"""
+
+
+def _candidates(spark, sf) -> DataFrame:
+    return blocking.candidate_pairs(demo.latest(spark, sf), 0.25, SKEW_S, "sphere").select("flight_id_1", "flight_id_2")
+
+
+def _met_states(spark, sf) -> DataFrame:
+    rows = demo.latest(spark, sf).select("flight_id", "lat", "lon", F.col("flight_level").alias("level"), F.col("ground_speed_kt").alias("knots"), F.col("track_heading").alias("track"), F.col("vertical_rate_fpm").alias("fpm"), "ts")
+    one, two = (rows.select(*[F.col(c).alias(f"{c}_{i}") for c in rows.columns]) for i in (1, 2))
+    return _candidates(spark, sf).join(one, "flight_id_1").join(two, "flight_id_2")
+
+
+def _met_plans(spark, sf) -> DataFrame:
+    pairs = _candidates(spark, sf).withColumn("pair", F.concat_ws("-", "flight_id_1", "flight_id_2"))
+    side = lambda i: F.struct(F.lit(i).alias("side"), F.col(f"flight_id_{i}").alias("flight_id"))
+    ids = pairs.select("pair", F.explode(F.array(side(1), side(2))).alias("s")).select("pair", "s.*")
+    return motion.clip_to_horizon(_ahead(spark, sf)).join(ids, "flight_id").drop("flight_id")
+
+
+def _cpa(spark, sf) -> DataFrame:
+    return conflicts.closest_approach(_met_states(spark, sf)).filter("conflict is not null")
+
+
+@query(_whole("c1_closest_approach", _NUMBERS, _CAN_MEET))
+def c1_closest_approach_whole(spark, sf):
+    c = F.col("conflict")
+    return _cpa(spark, sf).select("flight_id_1", "flight_id_2", *r6(horizontal_nm=c["horizontal_nm"], vertical_nm=c["vertical_nm"], cpa_h=c["cpa_h"], middle_lat=c["middle"]["lat"], middle_lon=c["middle"]["lon"]))
+
+
+@query(_whole("c2_conflict_interval", _NUMBERS, _CAN_MEET))
+def c2_conflict_interval_whole(spark, sf):
+    c = F.col("conflict")
+    return _cpa(spark, sf).select("flight_id_1", "flight_id_2", *r6(entry_h=c["entry_h"], exit_h=c["exit_h"], entry_2_lat=c["entry_2"]["lat"], exit_1_level=c["exit_1"]["level"]))
+
+
+@query(_whole("c4_f8_separation_filter", _NUMBERS, _CAN_MEET))
+def c4_f8_separation_filter_whole(spark, sf):
+    rows = _cpa(spark, sf).filter(conflicts.is_conflict(F.col("conflict")))
+    return rows.select("flight_id_1", "flight_id_2", *r6(entry_h=F.col("conflict.entry_h")))
+
+
+@query(_whole("j13_time_align", _NUMBERS, _CAN_MEET))
+def j13_time_align_whole(spark, sf):
+    near = _met_states(spark, sf).filter(conflicts.time_skew_s(F.col("ts_1"), F.col("ts_2")) < 36_000)
+    rows = conflicts.align_times(near)
+    return rows.select("flight_id_1", "flight_id_2", *r6(lat_1=F.col("lat_1"), lat_2=F.col("lat_2")), F.col("level_1").cast("int"), F.col("level_2").cast("int"))
+
+
+@query(_whole("j5_j6_meeting_legs", f"sd AS ({_PAIRED}", _MET))
+def j5_j6_meeting_legs_whole(spark, sf):
+    rows = boundaries.meeting_legs(boundaries.plan_legs(_met_plans(spark, sf), ("pair", "side")))
+    return rows.select("pair", F.col("n_1").alias("leg_1"), F.col("n_2").alias("leg_2"), *r6(start_h=F.greatest("reach_h_1", "reach_h_2"), end_h=F.least("end_reach_h_1", "end_reach_h_2")))
+
+
+@query(_whole("c5_meeting_plans", f"sd AS ({_PAIRED}", _MET))
+def c5_meeting_plans_whole(spark, sf):
+    return boundaries.meeting_plans(_met_plans(spark, sf))
