@@ -73,7 +73,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.spaced = spaced
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -99,10 +100,16 @@ class ChunkEncoder:
                 start = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
+        """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty.
+
+        A text that holds an added token's content is encoded by the library as a whole, as is its default.
+        """
+        import numpy as np
+
         if len(self.known) > self.REMEMBERED:
             self.known, self.older = {}, self.known
-        cut = [self.chunks(x or "") for x in texts]
+        whole = {i: x for i, x in enumerate(texts) if x and self.holds_added(x)}  # an added token may cross chunks
+        cut = [[] if i in whole else self.chunks(x or "") for i, x in enumerate(texts)]
         new = []
         for x in set().union(*cut).difference(self.known):
             if x in self.older:
@@ -110,7 +117,8 @@ class ChunkEncoder:
             else:
                 new.append(x)
         self._learn(new)
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        of = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [of(whole[i]) if i in whole else b"".join(map(self.known.__getitem__, chunks)) for i, chunks in enumerate(cut)]
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylane.llm import bitplanes, language, near_dups, packing, pii, pivot_search, quality, sentence_pieces, toxicity, url_blocks
-from skylane.llm.common import shared_dir
+from skylane.llm.common import ChunkEncoder, shared_dir
 from skylane.llm.components import connected_components
 
 LONG = "word " * 20_000
@@ -33,6 +33,16 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_in_texts(name, spaced):
+    from tokenizers import Tokenizer
+
+    texts = ["one two <|endoftext|> three", "a<|startoftext|>b  c<|endoftext|>", "<|ENDOFTEXT|> <| endoftext |>", "plain words", None, "<|endoftext|>"]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ChunkEncoder(public_tokenizers.path(name), spaced).encode(texts)] == want
+
+
 def test_bit_planes_format():
     for ids in (np.array([], dtype="<u4"), np.array([0, 0], dtype="<u4"), np.random.default_rng(1).integers(0, 2**32, 1001, dtype="<u4")):
         for bits in (1, 8):
