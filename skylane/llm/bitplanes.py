@@ -8,8 +8,8 @@ unsigned 32-bit ids; planes of zeros are left out, every other plane is one zsta
     then the chunk index: for each block u32 ids, u32 mask of stored planes, u32 bytes for each stored plane
     then the planes in the order of the index
 
-Segments are rows of a Parquet dataset (shard, seq, first and last doc_id, document ids and lengths, payload), so Spark
-writes and reads them on any store, and a lost executor's shard is simply written again.
+Segments are rows of a Parquet dataset (shard, seq, ids before it in its shard, document ids and lengths, payload), so
+Spark writes and reads them on any store, and a lost executor's shard is simply written again.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc, encoder, partitions, small_batches
+from .common import crc, encoder, partitions, slices, stage, unstage
 
 MAGIC = b"IDP1"
-SEGMENT = "shard int, seq long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+SEGMENT = "shard int, seq long, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
 def _planes(block: np.ndarray, bits: int) -> list[bytes]:
@@ -95,62 +95,81 @@ def decode_ids(payload: bytes, first: int = 0, last: int | None = None) -> np.nd
     return np.concatenate(out)
 
 
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, tie (crc32 of the ids), part and row (where the row was read), ids (binary, with end_id) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, row, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
+        for batch in slices(batches):
+            ids, lengths = encoder(tokenizer, spaced=True).encode(batch.column(1))
+            data, at, found = memoryview(ids).cast("B"), 0, []
+            for n in (4 * lengths).tolist():
+                found.append(bytes(data[at : at + n]) + end)
+                at += n
+            rows = pa.array(range(row, row + len(found)), type=pa.int64())
+            row += len(found)
+            arrays = [batch.column(0), pa.array(map(crc, found), type=pa.int64()), pa.array([part] * len(found), type=pa.int32()), rows, pa.array(found, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tie", "part", "row", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tie long, part int, row long, ids binary")
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment: int = 1 << 18, block: int = 16384, bits: int = 8, shards: int | None = None) -> None:
     """Encodes every document (doc_id, text), appends end_id, and writes segments in ascending doc_id order to path.
 
-    A null text is empty. A null doc_id comes first; rows that share a doc_id follow each other, ordered by text.
-    A document longer than a segment makes a segment of its own.
+    A null text is empty. A null doc_id comes first; rows that share a doc_id follow each other, ordered by the crc32 of
+    their ids, and equal ones by where they were read, so that a doc_id of very many rows is split over shards, too.
+    A document longer than a segment makes a segment of its own. Texts are encoded where they are read and kept as ids;
+    only ids are sorted.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
+        shard, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, doc_ids, parts
+            nonlocal seq, before, held, doc_ids, parts
             payload = encode_ids(np.frombuffer(b"".join(parts), dtype="<u4"), block, bits)
-            row = [[shard], [seq], [held], [doc_ids], [[len(x) // 4 for x in parts]], [payload]]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            seq, held, doc_ids, parts = seq + 1, 0, [], []
-            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, types, strict=True)], names=["shard", "seq", "n_ids", "doc_ids", "lengths", "payload"])
-
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer, spaced=True).encode(batch.column(1).to_pylist()), strict=True):
-                if held and held + len(ids) // 4 + 1 > segment:
+            row = [[shard], [seq], [before], [held], [doc_ids], [[len(x) // 4 for x in parts]], [payload]]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            seq, before, held, doc_ids, parts = seq + 1, before + held, 0, [], []
+            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, types, strict=True)], names=["shard", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
+
+        for batch in slices(batches):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and held + len(ids) // 4 > segment:
                     yield flush()
                 doc_ids.append(doc_id)
-                parts.append(ids + end)
-                held += len(ids) // 4 + 1
+                parts.append(ids)
+                held += len(ids) // 4
         if held:
             yield flush()
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(shards or partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(pack, SEGMENT).write.parquet(path)
+    encoded, order = stage(encode_documents(docs, tokenizer, end_id), "encoded"), ("doc_id", "tie", "part", "row")
+    ordered = encoded.repartitionByRange(shards or partitions(docs), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(pack, SEGMENT).write.parquet(path)
+    unstage(encoded)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with first_id, the number of ids in all segments before; only lengths are summed, payloads stay put."""
+    """Segments with first_id, the number of ids in all segments before. Only a number for each shard is sent to them; payloads stay put."""
     rows = spark.read.schema(SEGMENT).parquet(path)
-    sizes = rows.select("shard", "seq", "n_ids")
-    shard = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # as many rows as shards
+    shard = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # as many rows as shards, which write_ids was given
     shard = shard.withColumn("shard_start", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(shard.drop("n"), "shard")
-    starts = starts.select("shard", "seq", (F.col("in_shard") + F.col("shard_start")).alias("first_id"))
-    return rows.join(starts, ["shard", "seq"])
+    return rows.join(F.broadcast(shard.drop("n")), "shard").withColumn("first_id", F.col("shard_start") + F.col("before")).drop("shard_start")
 
 
 def read_documents(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """Decodes the files: doc_id, start, n_tokens (end id included), ids_crc32 for each document (and ids, with keep_ids)."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             for doc_ids, lengths, payload, start in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 data, at = memoryview(decode_ids(payload).tobytes()), 0
                 starts, crcs, ids = [], [], []
@@ -167,6 +186,5 @@ def read_documents(spark: SparkSession, path: str, keep_ids: bool = False) -> Da
                     arrays, names = [*arrays, pa.array(ids, type=pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a segment is about a megabyte
     rows = read_segments(spark, path).select("doc_ids", "lengths", "payload", "first_id")
     return rows.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))

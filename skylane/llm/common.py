@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts a Python worker holds at once; long texts make larger batches unsafe.
-ROWS_PER_BATCH = 500
+#: Bytes of text that a Python worker works on at once; a longer text makes a slice of its own.
+SLICE_BYTES = 8_000_000
 #: Rows up to which a key list is broadcast (8 bytes a row); beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only in local mode (one machine, as in tests) one of our own is made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="skylane-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -32,9 +37,26 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, so that long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def unstage(df: DataFrame) -> None:
+    """Deletes what stage() wrote for df, when nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that a slice holds at most that many bytes of a text column, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        at = 0
+        while at < batch.num_rows:
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, until - at)
+            at = until
 
 
 def partitions(df: DataFrame) -> int:
@@ -60,65 +82,106 @@ class ChunkEncoder:
     A text is cut where no token of the tokenizer can cross, distinct chunks are encoded by the tokenizers library and
     remembered, and the ids of a text are the joined ids of its chunks. ``spaced`` tells where: True for byte-level
     tokenizers whose pre-tokens take one leading space (cut before a single space between two other characters),
-    False for those that drop white space (cut at white space).
+    False for those that drop white space (cut at white space). Texts that hold an added token's content, which the
+    library finds before it cuts, are encoded by it as a whole.
     """
 
     #: Distinct chunks in a generation; two generations are kept, so that frequent chunks stay.
     REMEMBERED = 600_000
     _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
-    _ODD_SPACE = re.compile(r"\s |\ \s|^ | $")
-    _DROPPED = str.maketrans("\t\n\v\f\r", "     ")
+    #: A space beside other white space or at an end of the text, where cutting before each space isn't right.
+    _ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] | [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A | \z"
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
+        if spaced:  # a byte-level token has a character for each of its bytes
+            import numpy as np
+
+            self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
+        self.lower = not spaced and '"Lowercase"' in self.tokenizer.to_str()[:100_000].split('"vocab"')[0]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.translate(self._DROPPED).split(" ")
-        if self._ODD_SPACE.search(text):
-            return self._AT_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], joined: bool) -> None:
+        """Remembers the ids of chunks; with joined, of such as can stand one after another in a text."""
         import numpy as np
 
         for at in range(0, len(new), 256):
-            part = new[at : at + 256]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part)), side="right")
-            data, start = np.array(got.ids, dtype="<u4").tobytes(), 0
-            for chunk, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.known[chunk] = data[start:end]
-                start = end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty.
-
-        A text that holds an added token's content is encoded by the library as a whole, as is its default.
-        """
-        import numpy as np
-
-        if len(self.known) > self.REMEMBERED:
-            self.known, self.older = {}, self.known
-        whole = {i: x for i, x in enumerate(texts) if x and self.holds_added(x)}  # an added token may cross chunks
-        cut = [[] if i in whole else self.chunks(x or "") for i, x in enumerate(texts)]
+            part, starts = new[at : at + 256], [None]
+            if joined and self.spaced:  # one text of all of them, parted where as many bytes have passed
+                got = self.tokenizer.encode("".join(part), add_special_tokens=False)
+                passed = np.concatenate(([0], np.cumsum(self.bytes[got.ids])))
+                begins = np.cumsum([0] + [len(x.encode()) for x in part[:-1]])
+                found = np.searchsorted(passed, begins)
+                starts = found.tolist() if (passed[np.minimum(found, len(passed) - 1)] == begins).all() else [None]
+            elif joined:  # one text of all of them, parted at the token of each one's first character
+                got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                starts = list(map(got.char_to_token, itertools.accumulate((len(x) + 1 for x in part[:-1]), initial=0)))
+            if None in starts:
+                got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                starts = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part)), side="left").tolist()
+            data = np.array(got.ids, dtype="<u4").tobytes()
+            for chunk, start, end in zip(part, starts, [*starts[1:], len(got.ids)], strict=True):
+                self.known[chunk] = data[4 * start : 4 * end]
+
+    def _ids(self, chunks: list[str], joined: bool = False) -> list[bytes]:
+        """Ids of each chunk; those not met before are encoded together."""
         new = []
-        for x in set().union(*cut).difference(self.known):
+        for x in set(chunks).difference(self.known):
             if x in self.older:
                 self.known[x] = self.older[x]
             else:
                 new.append(x)
-        self._learn(new)
-        of = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return [of(whole[i]) if i in whole else b"".join(map(self.known.__getitem__, chunks)) for i, chunks in enumerate(cut)]
+        self._learn(new, joined)
+        return [self.known[x] for x in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple:
+        """The ids of all texts one after another (uint32) and their number for each text (int64); a null text is empty."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if len(self.known) > self.REMEMBERED:
+            self.known, self.older = {}, self.known
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy of its own: ascii_lower reads slices wrongly
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            whole |= np.asarray(pc.match_substring(texts, content, ignore_case=self.lower))
+        odd = np.asarray(pc.match_substring_regex(texts, self._ODD_SPACE)) & ~whole if self.spaced else np.zeros_like(whole)
+        own = []  # texts that aren't cut at each space: each is one chunk
+        for i in np.flatnonzero(whole | odd).tolist():
+            text = texts[i].as_py()
+            own.append(b"".join(self._ids(self._AT_SPACE.split(text))) if odd[i] else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        if own:
+            texts = pc.if_else(pa.array(whole | odd), "", texts)
+        if self.lower:
+            texts = pc.ascii_lower(texts)
+        words = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
+        offsets = np.asarray(words.offsets)
+        distinct = words.values.dictionary_encode()
+        index, chunks = np.asarray(distinct.indices).astype(np.int64), distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = self._ids([" " * self.spaced + x for x in chunks if x], joined=True)
+        if "" in chunks:
+            parts.insert(chunks.index(""), b"")
+        if self.spaced:  # a text's first chunk is the only one without a leading space
+            first = pc.list_element(words, 0).to_pylist()
+            index[offsets[:-1]] = np.arange(len(parts), len(parts) + len(first))
+            parts += self._ids(first)
+        if own:
+            index[offsets[:-1][whole | odd]] = len(parts) + np.arange(len(own))
+            parts += own
+        table, sizes = np.frombuffer(b"".join(parts), dtype="<u4"), np.array([len(x) // 4 for x in parts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        lengths = np.diff(np.concatenate(([0], ends))[offsets])
+        place = np.repeat(starts[index] - ends + counts, counts)
+        place += np.arange(len(place))
+        return table[place], lengths
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}

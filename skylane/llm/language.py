@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 _LETTER: list[np.ndarray] = []
 
@@ -51,7 +51,7 @@ def fit(labelled: DataFrame, bits: int = 14, sample: int = 20_000) -> LanguageMo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = sums.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))
                 found[:-1] += np.bincount(ngrams(text, bits), minlength=1 << bits)
@@ -60,7 +60,6 @@ def fit(labelled: DataFrame, bits: int = 14, sample: int = 20_000) -> LanguageMo
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at, type=pa.int32()), pa.array(found[at])], names=["lang", "bucket", "n"])
 
-    small_batches(labelled.sparkSession)
     rows = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     counts = np.zeros((len(languages), (1 << bits) + 1))
@@ -79,7 +78,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(model.log_p.T)
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 grams = ngrams(text, model.bits)
@@ -93,7 +92,6 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ()) ->
                 langs.append(model.languages[best]), scores.append(float(1 / np.exp((total - total[best]) / 3).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *keep])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["doc_id long, lang_pred string, score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
     return rows.mapInArrow(run, schema)

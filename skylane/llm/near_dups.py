@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, small_batches, stage
+from .common import BROADCAST_ROWS, partitions, slices, stage
 from .components import connected_components
 
 ROWS, BANDS = 5, 25
@@ -94,7 +94,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, prints, sketches, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, size)
@@ -117,7 +117,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= least))
 
@@ -129,12 +129,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     """Pairs (a, b) with 100 * intersection >= percent * union on full sets, which are built for the documents in pairs only."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array([shingles(x, size).tobytes() for x in batch.column(1).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -157,7 +157,7 @@ def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(x, size) for x in batch.column(1).to_pylist()]
             prints = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], type=pa.binary())
             hashes = pa.array([x.view(np.int64) for x in found], type=pa.list_(pa.int64()))
@@ -177,7 +177,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     kept. An empty table gives no rows; other columns are ignored. The chance to miss a link is smaller
     the more similar it is: at the threshold below one in a million for percent = 85, about 5 in 100,000 for 80.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_docs = stage(_sketches(rows, size), "sketches")
     sets = all_docs.filter("doc_id is not null and n_shingles > 0")

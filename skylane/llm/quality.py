@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_marks", "n_pipes", "n_lines", "n_stops")
 FEATURES = {
@@ -68,11 +68,10 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, COUNTS and the columns to keep for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(zip(*map(text_counts, batch.column(1).to_pylist()), strict=True)) or [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=pa.int64()) for c in columns], *batch.columns[2:]], names=["doc_id", *COUNTS, *keep])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["doc_id long", *[f"{c} long" for c in COUNTS], *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
     return rows.mapInArrow(run, schema)
@@ -168,7 +167,6 @@ def judge(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), **learni
     base_failed: fewer than 10 words, or more than a fifth of them in repeated windows. A null text has no words, so it
     fails. Repeated rows are judged alike; an empty table gives no rows; without labels only the base test rejects.
     """
-    small_batches(docs.sparkSession)
     taught = labels.select(F.col("doc_id").cast("long"), "quality").filter("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
     total = taught.count()
     share = min(1.0, learning.get("sample", 20_000) / max(1, total))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, small_batches
+from .common import crc, slices
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -214,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, pieces = batch.column(1).to_pylist(), encoder(path)
             found = pieces.encode(texts)
             ids = [np.frombuffer(x, dtype="<u4") for x in found]
@@ -225,6 +225,5 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
                 arrays, names = [*arrays, pa.array([i.astype(np.int32) for i in ids], type=pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import slices, stage
 
 WINDOW, MOST = 128, 8
 
@@ -122,18 +122,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, toxic_windows:
     taken = stage(rows.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "taught")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = [(w, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows(x)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], type=pa.binary()), pa.array([t for _, t in found], type=pa.int32())], names=["window", "toxic"])
 
-    small_batches(docs.sparkSession)
     cuts = taken.mapInArrow(cut, "window binary, toxic int").distinct()
     some = lambda toxic, n: [bytes(r.window) for r in cuts.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("window"), "window").limit(n).collect()]
     model = dictionaries(some(0, ordinary_windows), some(1, toxic_windows))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = model.savings()
-        for batch in batches:
+        for batch in slices(batches, 0):
             rows = [features(count(text)).tolist() for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, type=pa.list_(pa.float64()))], names=["toxic", "features"])
 
@@ -177,7 +176,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = model.savings()
-        for batch in batches:
+        for batch in slices(batches):
             scores, n, hits = [], [], []
             for text in batch.column(1).to_pylist():
                 saved = count(text)
@@ -188,5 +187,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             arrays = [batch.column(0), pa.array(scores, type=pa.float64()), pa.array([int(x >= 0.5) for x in scores], type=pa.int32()), pa.array(n, type=pa.int64()), pa.array(hits, type=pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "predicted", "windows", "hits"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, windows long, hits long")

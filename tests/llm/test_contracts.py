@@ -29,9 +29,7 @@ def labels(spark):
 
 
 def ids_of(name, text):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):

@@ -1,12 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from skylane.llm import bitplanes, language, near_dups, packing, pii, pivot_search, quality, sentence_pieces, toxicity, url_blocks
-from skylane.llm.common import ChunkEncoder, shared_dir
+from skylane.llm.common import ChunkEncoder, shared_dir, slices
 from skylane.llm.components import connected_components
 
 LONG = "word " * 20_000
@@ -40,7 +41,37 @@ def test_added_tokens_in_texts(name, spaced):
     texts = ["one two <|endoftext|> three", "a<|startoftext|>b  c<|endoftext|>", "<|ENDOFTEXT|> <| endoftext |>", "plain words", None, "<|endoftext|>"]
     whole = Tokenizer.from_file(public_tokenizers.path(name))
     want = [whole.encode(x or "", add_special_tokens=False).ids for x in texts]
-    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ChunkEncoder(public_tokenizers.path(name), spaced).encode(texts)] == want
+    ids, lengths = ChunkEncoder(public_tokenizers.path(name), spaced).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, lengths.cumsum())[:-1]] == want
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_of_random_texts(name, spaced):
+    """Any mix of blanks, marks, letters and added tokens, against the library; slices of a batch, and chunks met before."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    bits = [" ", "  ", "\n", " \n", "\t", "a", "B", "é", "don't", "123", "<|endoftext|>", "<|startoftext|>", "\u00a0", "\u3000", "x.y", "\x1c", "ß", "\u0301", "...", "word", "İ"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(1500)] + ["", None, " ", "a " * 3000, "b" * 5000]
+    whole, ours = Tokenizer.from_file(public_tokenizers.path(name)), ChunkEncoder(public_tokenizers.path(name), spaced)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, type=pa.string())], names=["i", "text"])
+    for part in [*slices([batch], most=4000), batch]:
+        ids, lengths = ours.encode(part.column(1))
+        want = [whole.encode(x or "", add_special_tokens=False).ids for x in part.column(1).to_pylist()]
+        assert [x.tolist() for x in np.split(ids, lengths.cumsum())[:-1]] == want
+
+
+@pytest.mark.parametrize("words", [(0,), (3, 60), (0, 3, 40, 300, 900)])
+def test_packing_has_little_padding(spark, words):
+    """Empty, short and mixed corpora need at most 3 % more sequences than their ids fill."""
+    rows = [(i, "word " * words[i % len(words)]) for i in range(20_000 if words == (0,) else 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    used = got.groupby("sequence_id").agg(ids=("length", "sum"), ends=("offset", lambda x: x.nunique()), n=("length", "size"))
+    assert (used.ids <= 4096).all() and (used.ends == used.n).all() and sorted(used.index) == list(range(len(used)))
+    assert ((got.offset + got.length).groupby(got.sequence_id).max() == used.ids).all()
+    total = sum(words[i % len(words)] + 1 for i in range(len(rows)))
+    assert used.ids.sum() == total and len(used) <= np.ceil(total / 4096 * 1.03)
 
 
 def test_bit_planes_format():
