@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc, encoder, partitions, slices, stage, unstage
+from .common import crc, encoder, partitions, slices
 
 MAGIC = b"IDP1"
 SEGMENT = "shard int, seq long, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -95,40 +95,19 @@ def decode_ids(payload: bytes, first: int = 0, last: int | None = None) -> np.nd
     return np.concatenate(out)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, tie (crc32 of the ids), part and row (where the row was read), ids (binary, with end_id) of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, row, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            ids, lengths = encoder(tokenizer, spaced=True).encode(batch.column(1))
-            data, at, found = memoryview(ids).cast("B"), 0, []
-            for n in (4 * lengths).tolist():
-                found.append(bytes(data[at : at + n]) + end)
-                at += n
-            rows = pa.array(range(row, row + len(found)), type=pa.int64())
-            row += len(found)
-            arrays = [batch.column(0), pa.array(map(crc, found), type=pa.int64()), pa.array([part] * len(found), type=pa.int32()), rows, pa.array(found, type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tie", "part", "row", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tie long, part int, row long, ids binary")
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment: int = 1 << 18, block: int = 16384, bits: int = 8, shards: int | None = None) -> None:
     """Encodes every document (doc_id, text), appends end_id, and writes segments in ascending doc_id order to path.
 
-    A null text is empty. A null doc_id comes first; rows that share a doc_id follow each other, ordered by the crc32 of
-    their ids, and equal ones by where they were read, so that a doc_id of very many rows is split over shards, too.
-    A document longer than a segment makes a segment of its own. Texts are encoded where they are read and kept as ids;
-    only ids are sorted.
+    A null text is empty. A null doc_id comes first; rows that share a doc_id follow each other, ordered by a hash of their
+    texts, and equal ones by where they were read, so that a doc_id of very many rows is split over shards, too.
+    A document longer than a segment makes a segment of its own. Texts are sorted and then encoded where they are
+    written, as compressed texts are smaller than their ids.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, seq, before = TaskContext.get().partitionId(), 0, 0
+        shard, seq, before, end = TaskContext.get().partitionId(), 0, 0, np.array([end_id], dtype="<u4").tobytes()
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
         held = 0
@@ -142,19 +121,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
             return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, types, strict=True)], names=["shard", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and held + len(ids) // 4 > segment:
+            ids, lengths = encoder(tokenizer, spaced=True).encode(batch.column(1))
+            data, at = memoryview(ids).cast("B"), 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
+                if held and held + n + 1 > segment:
                     yield flush()
                 doc_ids.append(doc_id)
-                parts.append(ids)
-                held += len(ids) // 4
+                parts.append(bytes(data[4 * at : 4 * (at + n)]) + end)
+                at += n
+                held += n + 1
         if held:
             yield flush()
 
-    encoded, order = stage(encode_documents(docs, tokenizer, end_id), "encoded"), ("doc_id", "tie", "part", "row")
-    ordered = encoded.repartitionByRange(shards or partitions(docs), *order).sortWithinPartitions(*order)
-    ordered.select("doc_id", "ids").mapInArrow(pack, SEGMENT).write.parquet(path)
-    unstage(encoded)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows, order = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}), ("doc_id", "tie", "row")
+    ordered = rows.repartitionByRange(shards or partitions(docs), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(pack, SEGMENT).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
