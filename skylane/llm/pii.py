@@ -30,7 +30,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+",
     "local": r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Patterns that only name candidates of a kind: phone numbers without a country.
 _ALSO = {"local": "phone"}
 _CUES = {
@@ -40,12 +40,26 @@ _CUES = {
     "phone": r"(?i)(phone|tel|call|fax|mobile|cell|handy|ruf|appel|llam)\W*\w*\W*$",
     "secret": r"(?i)(token|secret|passw|api|key|auth|bearer)\w*\W{0,6}$",
 }
+# Lists of the gazetteer: what speaks for a span, and what against it.
+_DOMAINS = "com org net edu gov mil int info biz io co app dev ai de at ch fr be nl es pt it uk ie eu pl cz se no dk fi us ca mx br au nz in jp".split()
+_FILES = "png jpg jpeg gif svg webp css js json html htm php pdf".split()
+_RESERVED = "0. 10. 127. 169.254. 172.16. 172.31. 192.0.2. 192.168. 198.51.100. 203.0.113. 224. 239. 240. 255.".split()
+_NEVER_HOSTS = "0. 127. 255.".split()
+_ISSUERS = "34 36 37 4 50 51 52 53 54 55 56 57 58 60 62 64 65 67 22 23 24 25 26 27 35".split()
+_COUNTRIES = "1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91 92 93 94 95 98 351 352 353 354 358 359 370 371 372 380 385 386 420 421 971 972".split()
+_KEYS = "sk- sk_ pk_ ghp_ gho_ AKIA ASIA xoxb xoxp eyJ AIza glpat-".split()
+
+
+def _any(values: list[str]) -> str:
+    return "(?:" + "|".join(v.replace(".", r"\.") for v in values) + ")"
+
+
 _GAZETTEER = {
-    "email": (r"(?i)\.(com|org|net|edu|gov|info|io|de|fr|es|eu|uk)$", r"(?i)\.(png|jpg|gif|css|js|html?)$"),
-    "ip": (r"^(?!0|127\.|10\.|192\.168\.|169\.254\.|22[4-9]|23[0-9]|24[0-9]|25[0-5])", r"^(0|127)\."),
-    "card": (r"^(4|5[1-5]|2[2-7]|3[47]|6)", r"^[01]"),
-    "phone": (r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0"),
-    "secret": (r"^(sk|pk|ghp|AKIA|xox|eyJ)", r"^[A-Za-z]+$|^[-=_+/]+$"),
+    "email": (rf"(?i)\.{_any(_DOMAINS)}$", rf"(?i)\.{_any(_FILES)}$"),
+    "ip": (rf"^(?!{_any(_RESERVED)})", rf"^{_any(_NEVER_HOSTS)}"),
+    "card": (rf"^{_any(_ISSUERS)}", r"^[01]"),
+    "phone": (rf"^\+{_any(_COUNTRIES)}", r"^\+0"),
+    "secret": (rf"^{_any(_KEYS)}", r"^[A-Za-z]+$|^[-=_+/]+$"),
 }
 CANDIDATE = "struct<kind:string,start:int,end:int,base:boolean,votes:array<int>,traits:array<string>>"
 
@@ -149,8 +163,8 @@ def fit(found: DataFrame, rounds: int = 12) -> tuple[dict[str, float], dict[str,
     found: what candidates() gives. All candidates count; only sums over vote patterns (27 a kind) and traits come back.
     """
     each = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.traits")
-    patterns = stage(each.groupBy("kind", "votes", "traits").agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    votes = stage(patterns.groupBy("kind", "votes").agg(F.sum("n").alias("n")).coalesce(1), "votes")
+    patterns = stage(each.groupBy("kind", "votes", "traits").agg(F.count("*").alias("n")), "patterns")
+    votes = stage(patterns.groupBy("kind", "votes").agg(F.sum("n").alias("n")), "votes")
 
     def sums(rows: DataFrame, p: Column, keys: Column) -> list:
         split = rows.select("kind", F.explode(keys).alias("key"), (F.col("n") * p).alias("good"), (F.col("n") * (1 - p)).alias("bad"))
