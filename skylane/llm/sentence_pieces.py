@@ -42,6 +42,8 @@ class PieceEncoder:
 
     #: Distinct chunks in a generation; two generations are kept, so that frequent chunks stay.
     REMEMBERED = 500_000
+    #: Characters of a chunk up to which all chunks advance together.
+    TOGETHER = 64
 
     def __init__(self, path: str):
         import sentencepiece
@@ -75,19 +77,19 @@ class PieceEncoder:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
+    def _fits(self, pair: int) -> bool:
+        known = self.fits.get(pair)
+        if known is None:
+            a, b = self.vocabulary[pair // len(self.vocabulary)], self.vocabulary[pair % len(self.vocabulary)]
+            known = self.merged(a + b) == [a, b]
+            if len(self.fits) < 2_000_000:
+                self.fits[pair] = known
+        return known
+
     def _fit(self, pairs: np.ndarray) -> np.ndarray:
         """Whether pieces (a, b), given as a * size + b in vocabulary order, stay apart as they are."""
         distinct, inverse = np.unique(pairs, return_inverse=True)
-        size, out = len(self.vocabulary), np.empty(len(distinct), dtype=bool)
-        for i, pair in enumerate(distinct.tolist()):
-            known = self.fits.get(pair)
-            if known is None:
-                a, b = self.vocabulary[pair // size], self.vocabulary[pair % size]
-                known = self.merged(a + b) == [a, b]
-                if len(self.fits) < 2_000_000:
-                    self.fits[pair] = known
-            out[i] = known
-        return out[inverse]
+        return np.fromiter(map(self._fits, distinct.tolist()), dtype=bool, count=len(distinct))[inverse]
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece) of every occurrence of a piece, by start: ranges of the suffix array from binary search."""
@@ -138,14 +140,16 @@ class PieceEncoder:
         last[firsts] = OPEN
         covered = np.zeros(n + 1, dtype=bool)
         covered[starts[self.lengths[piece] == 1]] = True
-        # Positions of all chunks advance together: at step k, edges that end k characters into their chunk.
+        # Positions of all chunks advance together: at step k, edges that end k characters into their chunk. The few
+        # chunks longer than that advance on their own, edge by edge.
+        steps = min(self.TOGETHER, int(sizes.max(initial=0)))
         depth = ends - first_of[starts]
         by = np.argsort(depth, kind="stable")
         starts, piece, ends, depth = starts[by], piece[by], ends[by], depth[by]
-        cuts = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
+        cuts = np.searchsorted(depth, np.arange(1, steps + 2))
         others = np.flatnonzero(~covered[:n] & (text != 0x110000))
         other_depth = others - first_of[others] + 1
-        for k in range(1, int(sizes.max(initial=0)) + 1):
+        for k in range(1, steps + 1):
             s, p, e = (x[cuts[k - 1] : cuts[k]] for x in (starts, piece, ends))
             before = last[s]
             good = (before == OPEN) | (before == OTHER)
@@ -154,6 +158,16 @@ class PieceEncoder:
             last[e[good]], came[e[good]] = p[good], s[good]
             o = others[other_depth == k]
             last[o + 1], came[o + 1] = OTHER, o
+        rest, alone = slice(cuts[steps], None), others[other_depth > steps]
+        by = np.lexsort((np.concatenate((starts[rest], alone)), np.concatenate((ends[rest], alone + 1))))
+        s, p, e = (np.concatenate(x)[by].tolist() for x in ((starts[rest], alone), (piece[rest], np.full(len(alone), OTHER)), (ends[rest], alone + 1)))
+        if s:
+            found, origin = last.tolist(), came.tolist()
+            for at, now, end in zip(s, p, e, strict=True):
+                before = found[at]
+                if now == OTHER or before == OPEN or before == OTHER or (before >= 0 and self._fits(before * size + now)):
+                    found[end], origin[end] = now, at
+            last, came = np.array(found), np.array(origin)
         ids = np.array([self.id[p] for p in self.vocabulary], dtype="<u4")
         for chunk, first, length in zip(chunks, firsts.tolist(), sizes.tolist(), strict=True):
             out, at = [], first + length
