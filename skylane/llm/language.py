@@ -11,30 +11,44 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
+#: Bytes of text whose n-grams are held at once.
+SLICE = 500_000
 _LETTER: list[np.ndarray] = []
 
 
-def ngrams(text: str | None, bits: int) -> np.ndarray:
-    """Hash buckets of the 1- to 3-grams of the lower-cased text, in which other characters than letters are one blank."""
+def _buckets(*codes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, given as arrays of their first, second, ... characters."""
+    a, b = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
+    out = codes[0] * b ^ np.uint32(len(codes) * 0x68E31DA4 & 0xFFFFFFFF)
+    for c in codes[1:]:
+        out = (out ^ out >> np.uint32(13)) * a ^ c * b
+    out = out * np.uint32(0x9E3779B1)
+    return (out ^ out >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+
+
+def ngrams(texts: Sequence[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash buckets of the 1-, 2- and 3-grams of the lower-cased texts, with the number of the text each is from, ascending.
+
+    A text counts as its runs of letters with one blank before, between and after them; a null text or one without a
+    letter has none. All texts of the batch are hashed at once.
+    """
     if not _LETTER:
         _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lower = [(x or "").lower() + "\n" for x in texts]
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
     letter = _LETTER[0][codes]
-    if not letter.any():
-        return np.empty(0, dtype=np.uint32)
-    codes = np.where(letter, codes, 32).astype(np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    c = np.concatenate(([32], codes[keep], [32])).astype(np.uint32)
-    a, b = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
-    two = c[:-1] * a ^ c[1:] * b
-    three = two[:-1] * a ^ c[2:] * b ^ np.uint32(0x68E31DA4)
-    hashed = np.concatenate((c[1:-1] * b, two ^ np.uint32(0xB5297A4D), three)) * np.uint32(0x9E3779B1)
-    return (hashed ^ hashed >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - bits)
+    text = np.repeat(np.arange(len(lower), dtype=np.int64), np.fromiter(map(len, lower), dtype=np.int64, count=len(lower)))[keep]
+    c = np.concatenate(([32], np.where(letter, codes, 32)[keep])).astype(np.uint32)  # the blank after a text's last word is also that before the next text's first
+    yield _buckets(c[1:]) >> np.uint32(32 - bits), text
+    yield _buckets(c[:-1], c[1:]) >> np.uint32(32 - bits), text
+    same = text[1:] == text[:-1]
+    yield (_buckets(c[:-2], c[1:-1], c[2:]) >> np.uint32(32 - bits))[same], text[1:][same]
 
 
 class LanguageModel:
-    """Log probabilities, languages by buckets; small enough to be shipped with the tasks (languages * 2**bits floats)."""
+    """Log probabilities, languages by buckets (languages * 2**bits floats, which are broadcast)."""
 
     def __init__(self, languages: list[str], log_p: np.ndarray, prior: np.ndarray, bits: int):
         self.languages, self.log_p, self.prior, self.bits = languages, log_p, prior, bits
@@ -51,11 +65,16 @@ def fit(labelled: DataFrame, bits: int = 14, sample: int = 20_000) -> LanguageMo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, 0):
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sums.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))
-                found[:-1] += np.bincount(ngrams(text, bits), minlength=1 << bits)
-                found[-1] += 1
+        for batch in slices(batches, 0, SLICE):
+            langs = batch.column(1).to_pylist()
+            names = sorted(set(langs))
+            of = np.array([names.index(x) for x in langs], dtype=np.int64)
+            for i, lang in enumerate(names):
+                sums.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))[-1] += int((of == i).sum())
+            for buckets, text in ngrams(batch.column(0).to_pylist(), bits):
+                found = np.bincount(of[text] << bits | buckets, minlength=len(names) << bits)
+                for i, lang in enumerate(names):
+                    sums[lang][:-1] += found[i << bits : (i + 1) << bits]
         for lang, found in sums.items():
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at, type=pa.int32()), pa.array(found[at])], names=["lang", "bucket", "n"])
@@ -70,26 +89,37 @@ def fit(labelled: DataFrame, bits: int = 14, sample: int = 20_000) -> LanguageMo
     return LanguageModel(languages, log_p, np.log(np.maximum(docs, 1) / max(1, docs.sum())), bits)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, lang_pred, score (posterior of that language) and the columns to keep for every row of docs (doc_id, text).
+def score_texts(texts: Sequence[str | None], log_p: np.ndarray, prior: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log scores, texts by languages, and whether each text has a letter; log_p has languages in its last axis."""
+    totals, some = np.tile(prior, (len(texts), 1)).astype(np.float64), np.zeros(len(texts), dtype=bool)
+    for buckets, text in ngrams(texts, bits):
+        ends = np.searchsorted(text, np.arange(len(texts) + 1))
+        some |= ends[1:] > ends[:-1]
+        full = np.flatnonzero(ends[1:] > ends[:-1])  # texts that have n-grams; each one's sum runs to the next one's first
+        if len(full):
+            totals[full] += np.add.reduceat(log_p[buckets].astype(np.float64), ends[full], axis=0)
+    return totals, some
+
+
+def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = (), temper: float = 3.0) -> DataFrame:
+    """doc_id, lang_pred, score and the columns to keep for every row of docs (doc_id, text).
 
-    A null text, one without a letter, or a model without languages gives und and 0. Ties go to the first language.
+    score is the posterior of that language, with log odds divided by ``temper``: every letter is in about three n-grams,
+    which naive Bayes takes for independent. A null text, one without a letter, or a model without languages gives und
+    and 0. Ties go to the first language. Repeated rows are judged alike; an empty table gives no rows.
     """
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, np.ascontiguousarray(model.log_p.T), model.prior, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.ascontiguousarray(model.log_p.T)
-        for batch in slices(batches):
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                grams = ngrams(text, model.bits)
-                if not len(grams) or not model.languages:
-                    langs.append("und"), scores.append(0.0)
-                    continue
-                total = model.prior.copy()
-                for at in range(0, len(grams), 1 << 16):
-                    total += table[grams[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                langs.append(model.languages[best]), scores.append(float(1 / np.exp((total - total[best]) / 3).sum()))
+        languages, table, prior, bits = sent.value
+        for batch in slices(batches, 1, SLICE):
+            langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            if languages:
+                totals, some = score_texts(batch.column(1).to_pylist(), table, prior, bits)
+                best = totals.argmax(axis=1)
+                odds = np.exp((totals - totals.max(axis=1, keepdims=True)) / temper).sum(axis=1)
+                scores = np.where(some, 1 / odds, 0.0)
+                langs = [languages[i] if s else "und" for i, s in zip(best.tolist(), some.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *keep])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
