@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_marks", "n_pipes", "n_lines", "n_stops")
 FEATURES = {
@@ -165,15 +165,16 @@ def judge(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), **learni
     """doc_id, COUNTS, base_failed, kept and the columns to keep for every row of docs (doc_id, text); labels (doc_id, quality) teach the rules.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated windows. A null text has no words, so it
-    fails. Repeated rows are judged alike; an empty table gives no rows; without labels only the base test rejects.
+    fails. Repeated rows are judged alike; of contrary labels of a doc_id the lowest counts; an empty table gives no rows;
+    without labels only the base test rejects.
     """
-    taught = labels.select(F.col("doc_id").cast("long"), "quality").filter("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
-    total = taught.count()
-    share = min(1.0, learning.get("sample", 20_000) / max(1, total))
+    taught = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id is not null and quality is not null")
+    taught = taught.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share = min(1.0, learning.get("sample", 20_000) / max(1, taught.count()))
     taught = taught.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(taught), "doc_id")  # about sample rows
-    quality = taught.select("doc_id", "quality")
-    rules = learn(with_features(statistics(rows)).join(F.broadcast(quality), "doc_id"), **learning)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(taught), "doc_id")  # about sample ids
+    known = stage(with_features(statistics(rows, ["quality"])).select("doc_id", "quality", *FEATURES), "taught")
+    rules = learn(known, **learning)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = with_features(statistics(docs, keep)).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)).select("doc_id", *COUNTS, "base_failed", "kept", *keep)
