@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import BROADCAST_ROWS, stage
 from .components import connected_components
 
 _LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -41,6 +41,23 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
+def resolve(url: Column, link: Column) -> Column:
+    """The absolute address of a link on the page of a url, as browsers see it; null for other schemes than http(s) and empty links."""
+    link = F.regexp_replace(F.trim(link), "(?i)&amp;|&#38;|&#x26;", "&")
+    scheme, host = F.regexp_extract(url, r"^(.*?)://", 1), F.regexp_extract(url, r"(?s)://([^/?#]*)", 1)
+    root, path = F.concat(scheme, F.lit("://"), host), F.regexp_extract(url, r"(?s)://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, r"[^/]*$", "")).otherwise("/")
+    return (
+        F.when(link == "", F.lit(None).cast("string"))
+        .when(link.rlike(r"^(?i)https?://"), link)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.rlike(r"^[?#]"), F.concat(root, path, link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(F.concat(root, folder, F.regexp_replace(link, r"^(\./)+", "")))
+    )
+
+
 def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html).
 
@@ -48,6 +65,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | N
     whatever its aliases are. Any other page is blocked if a page that a rule blocks is in its component, which redirects
     (source, target urls), canonical links, meta refreshes and variants of one address span; else it is allowed.
     A null url, or one without ://, has an empty host and path, no aliases, and is allowed. Repeated rows are judged alike.
+    Links are resolved against the page's url: whole, without a scheme, from the root, or from the page's folder.
     """
     host, path = host_and_path(F.col("url"))
     address = F.when(F.col("url").contains("://"), canonical(F.col("url")))
@@ -58,19 +76,22 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | N
         own = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(own)
     judged = judged.withColumn("own", own)
     targets = F.array(*[F.regexp_extract("html", x, 1) for x in (_LINK, _REFRESH)])
-    root = F.concat(F.regexp_extract("url", r"^(.*?://)", 1), F.regexp_extract("url", r"://([^/?#]*)", 1))
     marked = F.col("html").rlike(r"(?i)canonical|http-equiv")  # most pages have neither
-    links = judged.filter(F.col("node").isNotNull() & marked).select("node", root.alias("root"), F.explode(targets).alias("to")).filter("to <> ''")
-    links = links.withColumn("to", F.when(F.col("to").startswith("/"), F.concat("root", "to")).otherwise(F.col("to")))
-    links = links.filter(F.col("to").contains("://")).select(F.col("node").alias("a"), canonical(F.col("to")).alias("b"))
+    links = judged.filter(F.col("node").isNotNull() & marked).select("node", "url", F.explode(targets).alias("to"))
+    links = links.withColumn("to", resolve(F.col("url"), F.col("to"))).filter("to is not null").select(F.col("node").alias("a"), canonical(F.col("to")).alias("b"))
     if redirects is not None:
         links = links.union(redirects.select(canonical(F.col("source")).alias("a"), canonical(F.col("target")).alias("b")))
     links = stage(links.distinct(), "url-links")
-    of_node = connected_components(links).select("node", "component")
-    # Blocked addresses, one row each; pages without a rule look theirs up.
+    of_node = stage(connected_components(links).select("node", "component"), "url-components")
+    # Blocked addresses, one row each: those of blocked pages, and all of their components.
     seeds = judged.filter("own = 'block' and node is not null").select("node").distinct()
-    component = lambda rows: rows.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    blocked = component(seeds).select("component").distinct().withColumn("blocked", F.lit(True))
-    spread = component(judged.select("page_id", "host", "path", "rule", "own", "node")).join(blocked, "component", "left")
+    bad = of_node.join(seeds, "node", "left_semi").select("component").distinct()
+    blocked = stage(seeds.union(of_node.join(bad, "component", "left_semi").select("node")).distinct(), "url-blocked")
+    few = blocked.count() <= BROADCAST_ROWS
+    # Only pages without a rule look their address up, and pages without an address have none to look up.
+    rows = judged.select("page_id", "host", "path", "rule", "own", "node")
+    open_ = F.col("own").isNull() & F.col("node").isNotNull()
+    looked = rows.filter(open_).join((F.broadcast(blocked) if few else blocked).withColumn("blocked", F.lit(True)), "node", "left")
+    ruled = rows.filter(~open_).withColumn("blocked", F.lit(False))
     verdict = F.coalesce("own", F.when(F.col("blocked"), F.lit("block")), F.lit("allow"))
-    return spread.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return looked.unionByName(ruled).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
