@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     Any orderable node type will do. Loops and repeated edges are harmless; edges with a null end are left out, and no
     edges give no rows. Groups are only ever reduced by min and distinct, both combined before the shuffle, and joins
-    on a hot node are split by adaptive execution. The edge list is written to the shared folder after each round.
+    on a hot node are split by adaptive execution. The edge list is written to the shared folder after each round, and
+    the one before it deleted. Rounds grow with the logarithm of the longest path; after ``limit`` of them, which no
+    input of realistic size needs, a RuntimeError is raised.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = stage(e, "edges"), None
@@ -36,7 +38,8 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if not state.n or (state.n, state.h) == before:
             break
         before = (state.n, state.h)
-        e = stage(_small_star(_large_star(e)), "edges")
+        old, e = e, stage(_small_star(_large_star(e)), "edges")
+        unstage(old)
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

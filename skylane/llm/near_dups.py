@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ MANTISSA = 10
 #: Members from which a bucket counts as large, and owners up to which a shingle counts as rare in it.
 LARGE, RARE = 64, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones((2, 1), dtype=np.uint64)
+#: Keys of the hashes of sketches, and of those that confirm links.
+KEYS = ("0123456789123456", "9876543210987654")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,28 +45,22 @@ _SEEDS = _mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * _BASE)
 _MULTIPLIERS, _OFFSETS = (_SEEDS[:REGISTERS] | np.uint64(1))[:, None], _SEEDS[REGISTERS:][:, None]
 
 
-def shingles(text: str | None, size: int = 5) -> np.ndarray:
+def shingles(text: str | None, size: int = 5, key: str = KEYS[0]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles (A-Z lower-cased, words between ASCII white space).
 
-    A text of fewer words has its whole word sequence as one shingle; a null text or one without words has none.
-    Shingles are substrings of the words joined by one space, so their hashes come from one prefix sum over the bytes.
+    A text of fewer words has its whole word sequence as one shingle; a null text or one without words has none. Words
+    are hashed with a keyed function, and their hashes mixed in order; another key gives unrelated hashes.
     """
-    global _powers
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    if _powers.shape[1] <= len(data):
-        steps = np.ones((2, 2 * len(data) + 1024), dtype=np.uint64)
-        steps[0, 1:], steps[1, 1:] = _BASE, _INVERSE
-        _powers = np.cumprod(steps, axis=1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0, : len(data)], out=sums[1:])
-    spaces = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
+    hashed = hash_array(np.array(words, dtype=object), hash_key=key, categorize=False)
     k = min(size, len(words))
-    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    return np.unique(_mix((sums[ends] - sums[starts]) * _powers[1, starts] + (ends - starts).astype(np.uint64)))
+    n = len(words) - k + 1
+    out = hashed[:n]
+    for i in range(1, k):
+        out = (out ^ (out >> np.uint64(29))) * _BASE + hashed[i : n + i]
+    return np.unique(_mix(out + np.uint64(k)))
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -126,11 +121,14 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on full sets, which are built for the documents in pairs only."""
+    """Pairs (a, b) with 100 * intersection >= percent * union on full sets, which are built for the documents in pairs only.
+
+    The sets are of other hashes than those of the sketches, so texts that collide there don't link here.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = pa.array([shingles(x, size).tobytes() for x in batch.column(1).to_pylist()], type=pa.binary())
+            found = pa.array([shingles(x, size, KEYS[1]).tobytes() for x in batch.column(1).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +178,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_docs = stage(_sketches(rows, size), "sketches")
     sets = all_docs.filter("doc_id is not null and n_shingles > 0")
-    classes = sets.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # Only sets of two or more documents are looked up; their table is written first, so that adaptive execution can split the documents of a frequent one.
+    copies = stage(sets.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "copies")
+    looked_up = sets.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "print", "left").withColumn("rep", F.coalesce("least", "doc_id"))
     own = [F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sketch", "keys")]
-    member = stage(all_docs.join(classes, "print", "left").select("doc_id", "n_shingles", "rep", *own), "classes")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("rep", "long"), ("sketch", "binary"), ("keys", "array<long>"))]
+    without = all_docs.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", *nothing)
+    member = stage(looked_up.select("doc_id", "n_shingles", "rep", *own).unionByName(without), "classes")
     reps = member.filter("sketch is not null")
     sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
     # Buckets of two or more representatives, each row with the bucket's first centre.
@@ -257,6 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
                 found = found.union(more)
                 components = stage(connected_components(found), "components")
         spread *= 16
-    out = member.select("doc_id", "n_shingles", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    moved = stage(components.filter("node <> component").withColumnRenamed("node", "rep"), "moved")  # those whose class isn't its own component
+    out = member.select("doc_id", "n_shingles", "rep").join(F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
