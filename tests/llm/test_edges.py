@@ -247,13 +247,15 @@ def test_top_k(spark):
     x[100:140] = x[100]  # ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, vector array<double>").withColumn("score", F.lit("x"))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in pivot_search.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=6, block=32, blocks_per_shard=2).collect()}
-    x = np.vstack([x, [1.0] + [0.0] * 7])
-    ids = np.array([*range(300), 903])
-    for q in range(0, 300, 20):
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in pivot_search.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=6, block=32, blocks_per_shard=2).collect())
+    x = np.vstack([x, x[0], [1.0] + [0.0] * 7])
+    ids = np.array([*range(300), 0, 903])  # id 0 twice: each is a query and the other one's candidate
+    want = []
+    for q in [*range(0, 300, 20), 300]:
         s = x @ x[q]
-        for k, i in enumerate([i for i in np.lexsort((ids, -s)) if i != q][:5]):
-            assert got[q, k + 1] == (ids[i], s[i])
+        best = [i for i in np.lexsort((ids, -s)) if i != q][:5]
+        want += [(ids[q], k + 1, ids[i], s[i]) for k, i in enumerate(best)]
+    assert got == sorted(want)
     assert pivot_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
