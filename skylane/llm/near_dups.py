@@ -28,8 +28,8 @@ from .components import connected_components
 ROWS, BANDS = 5, 25
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
-#: Members from which a bucket counts as large, and owners up to which a shingle counts as rare in it.
-LARGE, RARE = 64, 16
+#: Owners up to which a shingle counts as rare: the pairs that share it are few, and taken from it.
+RARE = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the hashes of sketches, and of those that confirm links.
 KEYS = ("0123456789123456", "9876543210987654")
@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, print, hashes, large, component): the shingle sets of the rows of ids (doc_id, large, component).
+    """(id, print, hashes, component): the shingle sets of the rows of ids (doc_id, component).
 
     Documents of a bucket often lie together in the input, so their sets are dealt anew before shingles become rows.
     """
@@ -159,10 +159,10 @@ def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             found = [shingles(x, size) for x in batch.column(1).to_pylist()]
             prints = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], type=pa.binary())
             hashes = pa.array([x.view(np.int64) for x in found], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, hashes, *batch.columns[2:]], names=["id", "print", "hashes", "large", "component"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, hashes, *batch.columns[2:]], names=["id", "print", "hashes", "component"])
 
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "large", "component")
-    sets = texts.mapInArrow(run, "id long, print binary, hashes array<long>, large boolean, component long").repartition(partitions(docs))
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "component")
+    sets = texts.mapInArrow(run, "id long, print binary, hashes array<long>, component long").repartition(partitions(docs))
     return stage(sets, "owned")
 
 
@@ -206,21 +206,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     def bounded(left: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with cap, the most shingles they can share with another, without those that can't link; and the pairs that share a rare shingle.
 
-        A shingle that no other candidate has is shared with none. In large buckets, shingles of few owners count as not
-        shared either, and all pairs that share one of them are taken from the shingles themselves: few for each.
+        A shingle that no other candidate has is shared with none. Shingles of few owners count as not shared either, and
+        all pairs that share one of them are taken from the shingles themselves: few for each.
         Rows that repeat an id's text list its shingles again, so owners are told apart by id and shingles counted once;
         an id with different texts keeps its size as cap, since its shingles aren't told apart by text.
         """
-        ids = stage(left.groupBy(F.col("id").alias("doc_id")).agg(F.max("large").alias("large"), F.min("component").alias("component")), "ids")
+        ids = stage(left.groupBy(F.col("id").alias("doc_id")).agg(F.min("component").alias("component")), "ids")
         owned = _owned(ids, rows, size)
         several = owned.groupBy("id").agg((F.min("print") < F.max("print")).alias("several")).filter("several")
-        each = owned.select("id", F.explode("hashes").alias("h"), "large", F.size("hashes").cast("long").alias("n"), "component")
+        each = owned.select("id", F.explode("hashes").alias("h"), F.size("hashes").cast("long").alias("n"), "component")
         owners = stage(each.groupBy("h").agg(F.count("*").alias("owners"), F.min("id").alias("id"), F.max("id").alias("other")).filter(F.col("owners") <= RARE), "owners")
         lone = owners.filter("id = other").groupBy("id").agg(F.count("*").alias("lone"))
-        rare = stage(each.filter("large").join(owners.filter("id < other").select("h"), "h").distinct(), "rare")
+        rare = stage(each.join(owners.filter("id < other").select("h"), "h").distinct(), "rare")
         few = rare.groupBy("id").agg(F.count("*").alias("rare"))
         left = left.join(lone, "id", "left").join(few, "id", "left").join(several, "id", "left")
-        out = F.coalesce("lone", F.lit(0)) + F.when(F.col("large"), F.coalesce("rare", F.lit(0))).otherwise(0)
+        out = F.coalesce("lone", F.lit(0)) + F.coalesce("rare", F.lit(0))
         cap = F.col("n") - F.when(F.col("several"), 0).otherwise(out)
         left = left.withColumn("cap", cap).drop("lone", "rare", "several").filter(fits(F.col("cap"), F.col("n"), F.col("least")))
         a, b = (rare.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in ("a", "b"))
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         # Members that haven't been a centre yet, in buckets where two of them are in different components.
         label = left.filter(~F.col("done")).drop("done", "component").join(components.withColumnRenamed("node", "id"), "id", "left")
         label = label.withColumn("component", F.coalesce("component", "id"))
-        mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), (F.count("*") >= LARGE).alias("large")).filter("x < y").drop("x", "y")
+        mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).filter("x < y").drop("x", "y")
         left = stage(label.join(mixed, "key"), "buckets")
         if left.isEmpty():
             break
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         if first_round:
             left, rare_pairs = bounded(left)
             first_round = False
-        left = left.drop("least", "large")
+        left = left.drop("least")
         centres = left.groupBy("key", F.pmod(F.xxhash64("id", F.lit(spread)), F.lit(spread)).alias("salt")).agg(F.min(F.struct("id", "n", "cap", "component")).alias("c")).select("key", "c")
         centres = stage(centres, "centres")
         one, two = F.struct("id", "n"), F.struct("c.id", "c.n")
