@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylane.functions.geo import geodesic_m, haversine_nm
+from skylane.functions.geo import EARTH_KM, NM_M, WGS84_A, WGS84_F, km_to_nm
+
+from .staging import staged
 
 MIN_LEVEL, MAX_SKEW_S, THRESHOLD_H = 60, 300, 0.5
 
@@ -25,38 +30,68 @@ def active_positions(positions: DataFrame, flights: DataFrame) -> DataFrame:
     return positions.join(flights.filter("active").select("flight_id"), "flight_id", "left_semi")
 
 
-def _sides(latest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keep = ("flight_id", "ts", "lat", "lon", "ground_speed_kt")
-    return tuple(latest.select(*[F.col(c).alias(f"{c}_{i}") for c in keep]) for i in (1, 2))
+def _sides(latest: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Positions as sides 1 and 2, with points on the unit sphere: of the latitude, or of the reduced latitude of the spheroid.
+
+    All sines and cosines are taken here, once for a position, so that a pair costs differences, a root and an arc sine.
+    """
+    b, l = F.radians("lat"), F.radians("lon")  # noqa: E741
+    if mode == "spheroid":
+        b = F.atan((1 - WGS84_F) * F.tan(b))
+    rows = latest.select("flight_id", "ts", "lat", "lon", "ground_speed_kt", (F.cos(b) * F.cos(l)).alias("x"), (F.cos(b) * F.sin(l)).alias("y"), F.sin(b).alias("z"))
+    return tuple(rows.select(*[F.col(c).alias(f"{c}_{i}") for c in rows.columns]) for i in (1, 2))
+
+
+def _distance_nm(mode: str) -> Column:
+    """Distance of the sides' points: along the sphere, or by Lambert's formula, whose terms are sums and differences of sines."""
+    square = lambda x: x * x
+    a = (square(F.col("x_1") - F.col("x_2")) + square(F.col("y_1") - F.col("y_2")) + square(F.col("z_1") - F.col("z_2"))) / 4  # squared sine of half the angle
+    angle = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    if mode != "spheroid":
+        return km_to_nm(EARTH_KM * angle)
+    sine = 2 * F.sqrt(a * F.greatest(F.lit(0.0), 1 - a))
+    x = F.try_divide((angle - sine) * square(F.col("z_1") + F.col("z_2")) / 4, 1 - a)
+    y = F.try_divide((angle + sine) * square(F.col("z_1") - F.col("z_2")) / 4, a)
+    return WGS84_A / NM_M * (angle - WGS84_F / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
 
 
 def _close(pairs: DataFrame, threshold_h: float, max_skew_s: float, mode: str) -> DataFrame:
-    at = [F.col(c) for c in ("lat_1", "lon_1", "lat_2", "lon_2")]
-    distance = geodesic_m(*at) / 1852 if mode == "spheroid" else haversine_nm(*at)
+    """Pairs close enough in time and closing time, the smaller id first; the distance is the same either way round."""
     skew = F.abs(F.unix_micros(F.col("ts_1").cast("timestamp")) - F.unix_micros(F.col("ts_2").cast("timestamp")))
-    near = pairs.filter((F.col("flight_id_1") < F.col("flight_id_2")) & (skew < max_skew_s * 1e6)).withColumn("distance_nm", distance)
-    near = near.withColumn("time_to_meeting_hours", F.col("distance_nm") / (F.col("ground_speed_kt_1") + F.col("ground_speed_kt_2")))
-    return near.filter(F.col("time_to_meeting_hours").between(0, threshold_h)).select("flight_id_1", "flight_id_2", "distance_nm", "time_to_meeting_hours")
+    near = pairs.filter(skew < max_skew_s * 1e6).withColumn("distance_nm", _distance_nm(mode))
+    near = near.withColumn("time_to_meeting_hours", F.try_divide("distance_nm", F.col("ground_speed_kt_1") + F.col("ground_speed_kt_2")))
+    return near.filter(F.col("time_to_meeting_hours") <= threshold_h).select(F.least("flight_id_1", "flight_id_2").alias("flight_id_1"), F.greatest("flight_id_1", "flight_id_2").alias("flight_id_2"), "distance_nm", "time_to_meeting_hours")
 
 
 def candidate_pairs(latest: DataFrame, threshold_h: float = THRESHOLD_H, max_skew_s: float = MAX_SKEW_S, mode: str = "spheroid") -> DataFrame:
     """Pairs of latest positions whose closing time is within the threshold.
 
-    Only flights of the same or of neighbouring latitude bands and time slots are compared. A band is as wide as two of the
-    fastest flights can close in the threshold, padded by 2 % for short degrees; a slot as long as the skew. The one number
-    this needs, the top speed, is aggregated first. Longitude isn't banded, so poles and the antimeridian need no care.
+    Only flights of the same or of neighbouring cells are compared. A cell is a latitude band, a range of longitudes and a
+    time slot. A band is as wide as two of the fastest flights can close in the threshold, padded by 2 % for short degrees;
+    a range of longitudes is as wide at the latitude farthest from the equator, and all of them where that is near a pole;
+    a slot is as long as the skew. What this needs, the top speed and the highest latitude, is aggregated first, over
+    positions that are written once. One flight of a pair is copied to its own cell and half of the neighbouring ones, so
+    every pair is met once.
     """
-    top = latest.agg(F.max("ground_speed_kt")).first()[0]
-    if top is None:
-        return _close(latest.limit(0).transform(lambda x: _sides(x)[0].crossJoin(_sides(x)[1])), threshold_h, max_skew_s, mode)
-    width = max(1e-3, 2 * float(top) * threshold_h / 60 * 1.02)
-    a, b = _sides(latest)
-    band = lambda i: F.floor(F.col(f"lat_{i}") / width)
-    slot = lambda i: F.floor(F.unix_micros(F.col(f"ts_{i}").cast("timestamp")) / (max_skew_s * 1e6))
-    around = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    a = a.withColumn("band", band(1)).withColumn("slot", slot(1))
-    b = b.withColumn("band", F.explode(F.transform(around, lambda d: band(2) + d))).withColumn("slot", F.explode(F.transform(around, lambda d: slot(2) + d)))
-    return _close(a.join(b, ["band", "slot"]), threshold_h, max_skew_s, mode)
+    rows = staged(latest.select("flight_id", "ts", "lat", "lon", "ground_speed_kt"), "latest")
+    most = rows.agg(F.max("ground_speed_kt").alias("top"), F.max(F.abs("lat")).alias("lat")).first()
+    top = float(most.top or 0)
+    width = max(1e-3, 2 * top * threshold_h / 60 * 1.02)
+    polar = min(90.0, (most.lat or 0.0) + width)
+    around = int(360 * math.cos(math.radians(polar)) / width) if polar < 85 else 1  # ranges of longitudes
+    lons = around if around >= 3 else 1
+    a, b = _sides(rows, mode)
+    cell = lambda i: (F.floor(F.col(f"lat_{i}") / width), F.pmod(F.floor((F.col(f"lon_{i}") + 180) * (lons / 360)), F.lit(lons)), F.floor(F.unix_micros(F.col(f"ts_{i}").cast("timestamp")) / (max_skew_s * 1e6)))
+    # Half of the neighbouring cells: a step and its reverse never both.
+    sideways = (-1, 0, 1) if lons > 1 else (0,)
+    steps = [(x, y % lons, z) for x, y, z in itertools.product((0, 1), sideways, (-1, 0, 1)) if (x, y, z) >= (0, 0, 0)]
+    names = ("band", "range", "slot")
+    a = a.withColumns(dict(zip(names, cell(1), strict=True)))
+    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, step, strict=True)]) for step in steps])
+    b = b.withColumns({f"_{n}": c for n, c in zip(names, cell(2), strict=True)}).withColumn("_d", F.explode(offsets))
+    b = b.select(*[c for c in b.columns if not c.startswith("_")], (F.col("_band") + F.col("_d.band")).alias("band"), F.pmod(F.col("_range") + F.col("_d.range"), F.lit(lons)).alias("range"), (F.col("_slot") + F.col("_d.slot")).alias("slot"), ((F.col("_d.band") == 0) & (F.col("_d.range") == 0) & (F.col("_d.slot") == 0)).alias("_own"))
+    met = a.join(b, list(names)).filter(~F.col("_own") | (F.col("flight_id_1") < F.col("flight_id_2")))
+    return _close(met, threshold_h, max_skew_s, mode)
 
 
 def partners(pairs: DataFrame) -> DataFrame:
