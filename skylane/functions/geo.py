@@ -150,9 +150,23 @@ def heat_intensity(remaining_hours: Column) -> Column:
     return 0.3 + 0.7 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), near))
 
 
-def grid(x: Column, digits: int = 1) -> Column:
-    return F.round(x, digits)
+def grid(x: Column) -> Column:
+    """x to one decimal, by its exact value: ties, which only quarters can be, go to the even digit.
+
+    Ten times x is 8 x + 2 x, both exact; what their sum s loses by rounding, e, decides where s alone looks like a tie.
+    """
+    eight, two = x * 8, x * 2
+    s = eight + two
+    e = (eight - (s - (s - eight))) + (two - (s - eight))
+    tie = s - F.floor(s) == 0.5
+    return F.when(tie & (e > 0), F.ceil(s)).when(tie & (e < 0), F.floor(s)).otherwise(F.rint(s)).cast("double") / 10
 
 
 def minutes_text(hours: Column) -> Column:
-    return F.round(hours * 60).cast("int")
+    """Minutes as a number, halves rounded up."""
+    return F.floor(hours * 60 + 0.5).cast("int")
+
+
+def fixed_text(x: Column) -> Column:
+    """Two decimals as text; N/A where unknown."""
+    return F.coalesce(F.format_string("%.2f", x), F.lit("N/A"))

@@ -30,6 +30,11 @@ def active_positions(positions: DataFrame, flights: DataFrame) -> DataFrame:
     return positions.join(flights.filter("active").select("flight_id"), "flight_id", "left_semi")
 
 
+def valid_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of two known, different flights."""
+    return pairs.filter("flight_id_1 is not null and flight_id_2 is not null and flight_id_1 <> flight_id_2")
+
+
 def _sides(latest: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     """Positions as sides 1 and 2, with points on the unit sphere: of the latitude, or of the reduced latitude of the spheroid.
 

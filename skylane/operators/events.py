@@ -92,6 +92,11 @@ def circle_per_pair(events: DataFrame) -> DataFrame:
     return placed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def conflict_items(events: DataFrame) -> DataFrame:
+    """Active events as a client shows them: the vertical distance in feet."""
+    return events.filter("active").select("id", "flight_id_1", "flight_id_2", "middle_point_lat", "middle_point_lon", "horizontal_distance", (F.col("vertical_distance") * 6076.12).alias("vertical_distance_ft"), "remaining_time")
+
+
 def conflict_segments(events: DataFrame) -> DataFrame:
     """A row for each flight of an active event: entry and exit, where all four are known."""
     side = lambda i: F.struct(F.col(f"flight_id_{i}").alias("flight_id"), *[F.col(f"flight_{i}_conflict_{e}_{c}").alias(f"{e}_{c}") for e in ("entry", "exit") for c in ("lat", "lon")])

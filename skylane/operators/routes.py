@@ -24,11 +24,15 @@ PROCEDURE = r"^[A-Z][A-Z0-9]{1,4}[1-9](?:[A-HJ-NP-Z]|[0-9])$"
 
 
 def tokens(route: Column) -> Column:
-    """Tokens, without a DCT at the start or right after the initial speed and level."""
-    all_ = F.filter(F.split(F.trim(route), r"\s+"), lambda t: t != "")
-    after = lambda i: F.try_element_at(all_, F.lit(i))
-    cut = F.when(after(1) == "DCT", F.slice(all_, 2, 10_000)).when(after(1).rlike(SPEED_LEVEL) & (after(2) == "DCT"), F.concat(F.slice(all_, 1, 1), F.slice(all_, 3, 10_000)))
-    return F.coalesce(cut, all_)
+    """Tokens, without those DCT, in any case, that stand at the start or right after the initial speed and level."""
+    bare = F.regexp_replace(F.trim(route), r"^(?i:DCT(?:\s+|$))+", "")
+    bare = F.regexp_replace(bare, rf"^({SPEED_LEVEL.strip('^$')})(?:\s+(?i:DCT)(?=\s|$))+", "$1")
+    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+
+
+def _from_second(array: str) -> Column:
+    """An array without its first element."""
+    return F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0)))
 
 
 def parse_routes(routes: DataFrame, text: str = "route") -> DataFrame:
@@ -39,12 +43,12 @@ def parse_routes(routes: DataFrame, text: str = "route") -> DataFrame:
     """
     rows = routes.withColumn("_t", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
     rows = rows.withColumn("_config", speed_level(F.try_element_at("_t", F.lit(1))))
-    rows = rows.withColumn("_t", F.when(F.col("_config").isNotNull(), F.slice("_t", 2, 10_000)).otherwise(F.col("_t")))
+    rows = rows.withColumn("_t", F.when(F.col("_config").isNotNull(), _from_second("_t")).otherwise(F.col("_t")))
     first, last = F.try_element_at("_t", F.lit(1)), F.try_element_at("_t", F.lit(-1))
     # Five characters or fewer that also fit a waypoint are a waypoint.
     proc = lambda t: t.rlike(PROCEDURE) & ~t.rlike(WAYPOINT)
     rows = rows.withColumn("_dep", F.when((F.size("_t") > 1) & proc(first), first))
-    rows = rows.withColumn("_t", F.when(F.col("_dep").isNotNull(), F.slice("_t", 2, 10_000)).otherwise(F.col("_t")))
+    rows = rows.withColumn("_t", F.when(F.col("_dep").isNotNull(), _from_second("_t")).otherwise(F.col("_t")))
     rows = rows.withColumn("_arr", F.when((F.size("_t") > 1) & proc(last), last))
     rows = rows.withColumn("_t", F.when(F.col("_arr").isNotNull(), F.slice("_t", F.lit(1), F.size("_t") - 1)).otherwise(F.col("_t")))
 
@@ -55,7 +59,7 @@ def parse_routes(routes: DataFrame, text: str = "route") -> DataFrame:
 
     start = F.struct(F.lit(False).alias("point"), F.array().cast("array<boolean>").alias("conn"))
     rows = rows.withColumn("_conn", F.aggregate("_t", start, step, lambda s: s["conn"]))
-    zipped = F.arrays_zip(F.col("_t").alias("t"), F.col("_conn").alias("c"), F.slice(F.col("_t"), 2, 10_000).alias("nt"), F.slice(F.col("_conn"), 2, 10_000).alias("nc"))
+    zipped = F.arrays_zip(F.col("_t").alias("t"), F.col("_conn").alias("c"), _from_second("_t").alias("nt"), _from_second("_conn").alias("nc"))
     change = lambda x: speed_level(F.nullif(F.element_at(F.split(x["t"], "/"), -1), x["t"]))
     segment = lambda x: F.struct(F.element_at(F.split(x["t"], "/"), 1).alias("ident"), F.when(x["nc"], x["nt"]).alias("via"), change(x)["tas"].alias("tas"), change(x)["level"].alias("level"))
     points = F.filter(zipped, lambda x: ~x["c"])
@@ -140,3 +144,19 @@ def expand_segments(parsed: DataFrame, airways: DataFrame) -> DataFrame:
     flown = asked.join(airway_paths(asked, airways), ["airway_id", "start", "end"]).join(anchor, ["airway_id", "start"])
     flown = flown.select("flight_id", "idx", F.col("pos").alias("sub"), "ident", "tas", "level", F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon"))
     return without_repeats(direct.unionByName(flown), ("flight_id",), ("idx", "sub"))
+
+
+def waypoint_names(parsed: DataFrame, airways: DataFrame) -> DataFrame:
+    """flight_id and names: the waypoints of the expanded route in order, else those of the parsed one, else null.
+
+    Rows without a route, or with one that doesn't parse, stay, with null names.
+    """
+    found = expand_segments(parsed, airways).groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sub", "ident"))).alias("_e"))
+    named = parsed.select("flight_id", F.when(F.col("parsed.valid"), F.transform("parsed.segments", lambda s: s["ident"])).alias("_p")).join(found, "flight_id", "left")
+    full = lambda x: F.when(F.size(x) > 0, x)
+    return named.select("flight_id", F.coalesce(full(F.transform("_e", lambda x: x["ident"])), full(F.col("_p"))).alias("names"))
+
+
+def segments_of_airways(requests: DataFrame, airways: DataFrame) -> DataFrame:
+    """The segments of the airways asked for (airway_id)."""
+    return airways.join(requests.select("airway_id").distinct(), "airway_id", "left_semi")

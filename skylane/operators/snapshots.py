@@ -24,6 +24,27 @@ def latest_complete_with_flight(positions: DataFrame, flights: DataFrame, order:
     return latest_per_flight(positions.filter(all_known(COMPLETE)), order).join(flights, "flight_id")
 
 
+def latest_of_flight(positions: DataFrame, flights: DataFrame, flight_id: str, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """The same for one flight: both tables are filtered by its id where they are read."""
+    only = F.col("flight_id") == flight_id
+    return latest_complete_with_flight(positions.filter(only), flights.filter(only), order)
+
+
+def by_flight(snapshots: DataFrame) -> DataFrame:
+    """Snapshots in the order of their flights' ids."""
+    return snapshots.orderBy("flight_id")
+
+
+def flight_ids(samples: DataFrame) -> DataFrame:
+    """The distinct ids, in order."""
+    return samples.select("flight_id").filter("flight_id is not null").distinct().orderBy("flight_id")
+
+
+def reset(*tables: DataFrame) -> list[DataFrame]:
+    """The tables without rows, to overwrite them with."""
+    return [t.limit(0) for t in tables]
+
+
 def latest_then_validate(positions: DataFrame, order: tuple[str, ...] = ("ts",), columns: Sequence[str] = (*COMPLETE, "ts")) -> DataFrame:
     """Pick, then filter: a flight whose last position is incomplete has none."""
     return latest_per_flight(positions, order).filter(all_known(columns))
@@ -76,6 +97,21 @@ def insert_absent(flights: DataFrame, seen: DataFrame) -> DataFrame:
     return flights.unionByName(new.select(*flights.columns))
 
 
+def live_positions(payload: DataFrame, now: Column) -> DataFrame:
+    """Positions to append for a live payload: ts is now, the wind is unpacked, and names of the plan's waypoints are kept.
+
+    payload: flight_id, lat, lon, flight_level, speed, heading, track_heading, vertical_speed, target_flight_level,
+    route_string, wind (struct of heading, speed, lat, lon, altitude) and flight_plan (array of structs with a name).
+    """
+    names = F.filter(F.transform("flight_plan", lambda w: w["name"]), lambda n: n.isNotNull() & (n != ""))
+    wind = [F.col(f"wind.{c}").alias(f"wind_{c}") for c in ("heading", "speed", "lat", "lon", "altitude")]
+    return payload.select(
+        "flight_id", now.alias("ts"), "lat", "lon", "flight_level", F.col("speed").alias("ground_speed_kt"), "heading", "track_heading",
+        F.coalesce(F.col("vertical_speed").cast("int"), F.lit(0)).alias("vertical_rate_fpm"), F.lit("").alias("sector_id"), F.col("route_string").alias("route"),
+        "target_flight_level", *wind, names.alias("flight_plan_json"),
+    )
+
+
 def flight_details(latest: DataFrame) -> DataFrame:
     """Altitude in feet, and the wind, which is still and at the aircraft unless both heading and speed are known."""
     known = F.col("wind_heading").isNotNull() & F.col("wind_speed").isNotNull()

@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; only in local mode one of our own is made where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="skylane-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder (one of our own where none is set) and reads it back.
+    """Writes df to the cluster's shared checkpoint folder and reads it back.
 
     The optimizer copies expressions through projections and filters; behind a table it has only columns.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="skylane-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

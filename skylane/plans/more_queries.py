@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skylane.functions import geo, parsing
 from skylane.operators import blocking, events, navpoints, routes, snapshots
+from skylane.operators.staging import shared_folder
 from skylane.sources import navdata, positions, sinks
 from skylane.streaming import replay
 
@@ -59,7 +60,9 @@ def x6_place_bearing_distance(spark, sf):
     return demo.positions(spark, sf).select("event_id", *r6(new_lat=p["lat"], new_lon=p["lon"]))
 
 
-@query("""SELECT event_id, round(((lat - 45e0) * 9e0 + (lon - 5e0) * c * 16e0 * c) / (81e0 + 16e0 * c * 16e0 * c), 6) + 0 AS progress, round(lat, 1) + 0 AS cell FROM (SELECT *, cos(radians(49.5e0)) AS c FROM pos)""", P)
+@query("""SELECT event_id, round(((lat - 45e0) * 9e0 + (lon - 5e0) * c * 16e0 * c) / (81e0 + 16e0 * c * 16e0 * c), 6) + 0 AS progress,
+  CASE WHEN s - floor(s) = 0.5 AND (lat * 8 - (s - (s - lat * 8))) + (lat * 2 - (s - lat * 8)) > 0 THEN ceil(s) WHEN s - floor(s) = 0.5 AND (lat * 8 - (s - (s - lat * 8))) + (lat * 2 - (s - lat * 8)) < 0 THEN floor(s) ELSE round_even(s, 0) END / 10 + 0 AS cell
+  FROM (SELECT *, cos(radians(49.5e0)) AS c, lat * 8 + lat * 2 AS s FROM pos)""", P)
 def m18_m24_progress_grid(spark, sf):
     at = geo.leg_progress(F.col("lat"), F.col("lon"), *[F.lit(x) for x in (45.0, 5.0, 54.0, 21.0)])
     return demo.positions(spark, sf).select("event_id", *r6(progress=at), (geo.grid(F.col("lat")) + 0.0).alias("cell"))
@@ -174,9 +177,7 @@ def s12_simulator_flights(spark, sf):
 
 
 def _shared(spark) -> str:
-    import tempfile
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='skylane-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT flight_id, ts AS sample_time, fl AS flight_level, round(lat, 6) + 0 AS lat FROM (SELECT *, date_trunc('second', ts) AS t FROM pos) p0 WHERE event_id % 3 <> 0".replace("ts AS sample_time", "date_trunc('second', ts) AS sample_time"), P)
@@ -209,4 +210,4 @@ def f2_default_threshold(spark, sf):
     return pairs.agg(F.count("*").alias("pairs"), F.countDistinct("flight_id_1").alias("flights"))
 
 
-from . import whole_queries  # noqa: E402, F401  registers more
+from . import import_queries, whole_queries  # noqa: E402, F401  registers more

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylane.functions.geo import FOOT_M, KM_PER_LEVEL, mps_to_fpm, wind
-from skylane.functions.parsing import b2b_time, feature_type, level_from
+from skylane.functions.parsing import b2b_time, feature_type, level_from, to_bool
 
 
 def text_of(xml: Column, *path: str) -> Column:
@@ -76,14 +78,29 @@ def flights_of_replies(replies: DataFrame, xml: str = "xml", route_field: str =
     where = F.when(text_of(f, "lastKnownPosition").isNotNull(), F.lit("lastKnownPosition")).otherwise(F.lit("ctfmPointProfile"))
     inside = lambda *path: F.when(where == "lastKnownPosition", text_of(f, "lastKnownPosition", *path)).otherwise(text_of(f, "ctfmPointProfile", *path))
     unit = inside("flightLevel", "unit")
+    yes = lambda x: F.coalesce(to_bool(x), F.lit(False))
     rows = each.select(
         "airspace", "sample_time", "pos", first("aircraftId").alias("flight_id"), first("aircraftType").alias("aircraft_type"),
         first("aerodromeOfDeparture").alias("origin"), first("aerodromeOfDestination").alias("destination"), b2b_time(inside("timeOver")).alias("time_over"),
         inside("position", "latitude").try_cast("double").alias("lat"), inside("position", "longitude").try_cast("double").alias("lon"),
-        level_from(unit, inside("flightLevel", "level")).alias("flight_level"), F.coalesce(inside("flightLevel", "ground"), inside("flightLevel", "ceiling")).alias("_edge"),
+        level_from(unit, inside("flightLevel", "level")).alias("flight_level"), (yes(inside("flightLevel", "ground")) | yes(inside("flightLevel", "ceiling"))).alias("_edge"),
         first(f"{route_field}Route", "filedRoute", "icaoRoute").alias("route_string"),
     )
-    return rows.filter("flight_id is not null and lat is not null and lon is not null and _edge is null").drop("_edge")
+    return rows.filter("flight_id is not null and lat is not null and lon is not null and not _edge").drop("_edge")
+
+
+def check_window(start: datetime, end: datetime, now: datetime | None = None) -> None:
+    """Raises ValueError for a query window that ends before it starts, or starts over a minute in the future."""
+    aware = lambda t: t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+    if aware(start) > aware(end):
+        raise ValueError(f"the window starts at {start}, after its end at {end}")
+    if aware(start) > aware(now or datetime.now(timezone.utc)) + timedelta(seconds=60):
+        raise ValueError(f"the window starts in the future: {start}")
+
+
+def stamped(records: DataFrame, sample_time: datetime) -> DataFrame:
+    """Records of one poll, all with its time."""
+    return records.withColumn("sample_time", F.lit(sample_time))
 
 
 def first_of_each_flight(records: DataFrame, airspaces: list[str]) -> DataFrame:

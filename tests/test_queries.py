@@ -1,4 +1,6 @@
-"""Every flight query against its SQL in DuckDB, at the smallest size."""
+"""Every flight query against its SQL in DuckDB, at the smallest size, or that of TEST_SF_DIR."""
+
+import os
 
 import duckdb
 import pytest
@@ -6,8 +8,8 @@ import pytest
 from skylane.plans import more_queries  # noqa: F401  registers more
 from skylane.plans.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
-TABLES = ("events", "part", "supplier", "customer", "orders", "nation")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = ("events", "part", "supplier", "customer", "orders", "nation", "region")
 
 
 def _text(v):
