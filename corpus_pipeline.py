@@ -13,23 +13,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject; rules are learned from the labels of the documents at hand."""
+    """Drops documents that the quality rules reject; rules are learned from the labels of the documents at hand.
+
+    A null or empty text has too few words and goes; repeated rows are judged alike; an empty table stays empty.
+    """
     return quality.judge(docs, table(spark, sf_dir, "labels"), keep=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
+#: Posterior from which a prediction is held against another recorded language.
+SURE = 0.9
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text has no language (und) or none that is likelier than not."""
-    return language.predict(docs, language.fit(docs), keep=COLUMNS[1:]).filter("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
+    """Drops documents whose text has no language (und) or none that is likelier than not, and those recorded as of another language than the text surely is of.
+
+    A null language contradicts nothing; the model is learned from the documents at hand. An empty table stays empty.
+    """
+    judged = language.predict(docs, language.fit(docs), keep=COLUMNS[1:])
+    contrary = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE)
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & ~contrary).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of every group of near duplicates, of 5-word shingles alike by 0.8."""
-    kept = near_dups.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    """Keeps the document of the smallest id of every group of near duplicates, of 5-word shingles alike by 0.8.
+
+    Rows that share a doc_id are one document and stay or go together; a null doc_id stays.
+    """
+    kept = near_dups.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; every document stays."""
+    """Replaces personal data by its kind; every document stays, a null text as an empty one."""
     found = pii.find_pii(docs, keep=COLUMNS[1:])
     clean = found.withColumn("text", pii.redact(F.col("text"), F.col("spans")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
