@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc, encoder, partitions, slices
+from .common import bounded, crc, encoder, partitions, slices
 
 MAGIC = b"IDP1"
 SEGMENT = "shard int, seq long, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -136,7 +136,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows, order = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}), ("doc_id", "tie", "row")
     ordered = rows.repartitionByRange(shards or partitions(docs), *order).sortWithinPartitions(*order)
-    ordered.select("doc_id", "text").mapInArrow(pack, SEGMENT).write.parquet(path)
+    bounded(ordered.select("doc_id", "text")).mapInArrow(pack, SEGMENT).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -169,4 +169,4 @@ def read_documents(spark: SparkSession, path: str, keep_ids: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = read_segments(spark, path).select("doc_ids", "lengths", "payload", "first_id")
-    return rows.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
+    return bounded(rows).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))

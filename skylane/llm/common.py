@@ -45,6 +45,18 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows, for a function over Arrow batches of whole texts: at most SLICE_BYTES go into a batch, or one row.
+
+    This lowers the session's limit of bytes, the same for all operators and never below that; results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = rows.sparkSession.conf.get(name, "")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= SLICE_BYTES:
+        rows.sparkSession.conf.set(name, str(SLICE_BYTES))
+    return rows
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that a slice holds at most that many bytes of a text column, or one row."""
     import numpy as np

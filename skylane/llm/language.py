@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 #: Bytes of text whose n-grams are held at once.
 SLICE = 500_000
@@ -79,7 +79,7 @@ def fit(labelled: DataFrame, bits: int = 14, sample: int = 20_000) -> LanguageMo
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at, type=pa.int32()), pa.array(found[at])], names=["lang", "bucket", "n"])
 
-    rows = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = bounded(taken).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     counts = np.zeros((len(languages), (1 << bits) + 1))
     for r in rows:
@@ -124,4 +124,4 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = (), tem
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["doc_id long, lang_pred string, score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)

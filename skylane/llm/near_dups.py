@@ -22,7 +22,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, slices, stage
+from .common import BROADCAST_ROWS, bounded, partitions, slices, stage
 from .components import connected_components
 
 ROWS, BANDS = 5, 25
@@ -104,7 +104,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, type=pa.int64()), pa.array(prints, type=pa.binary()), pa.array(sketches, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "print", "sketch", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary, keys array<long>")
+    return bounded(docs).mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary, keys array<long>")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -117,7 +117,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= least))
 
     of = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sketch_a", "sketch_b")
+    return bounded(both).mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -136,16 +137,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
     need = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "need")
     few = need.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
-    full = stage(texts.mapInArrow(sets, "id long, hashes binary"), "sets")
+    full = stage(bounded(texts).mapInArrow(sets, "id long, hashes binary"), "sets")
     of = lambda c: full.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long").distinct()
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "hashes_a", "hashes_b")
+    return bounded(both).mapInArrow(run, "a long, b long").distinct()
 
 
 def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -162,7 +164,7 @@ def _owned(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, hashes, *batch.columns[2:]], names=["id", "print", "hashes", "component"])
 
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id").select("doc_id", "text", "component")
-    sets = texts.mapInArrow(run, "id long, print binary, hashes array<long>, component long").repartition(partitions(docs))
+    sets = bounded(texts).mapInArrow(run, "id long, print binary, hashes array<long>, component long").repartition(partitions(docs))
     return stage(sets, "owned")
 
 

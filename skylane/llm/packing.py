@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc, encoder, slices, stage
+from .common import bounded, crc, encoder, slices, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, part int, own long"
 
@@ -58,7 +58,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int, siz
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "part", "own"] + ["ids"] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def combinations(sizes: np.ndarray, window: int, times: int = 16, fill: int = 4) -> tuple[np.ndarray, np.ndarray]:

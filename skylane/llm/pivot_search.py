@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stage
+from .common import bounded, partitions, slices, stage
 
 BLOCK = "block string, pivot int, low double, high double, n int, ids binary, vectors binary"
 RESULT = "query_row long, query_id long, vec_id long, score long"
@@ -192,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 64, s
         if state["home"] is not None:
             yield result()
 
-    others = pairs.mapInArrow(expand, RESULT)
+    others = bounded(pairs).mapInArrow(expand, RESULT)
     own = index.select(F.explode(F.arrays_zip("own_row", "own_q", "own_id", "own_score")).alias("x")).select(F.col("x.own_row").alias("query_row"), F.col("x.own_q").alias("query_id"), F.col("x.own_id").alias("vec_id"), F.col("x.own_score").alias("score"))
     # At most k candidates of each shard meet here: they are merged as sorted arrays, so a query's group stays small.
     best = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("minus"))), asc=False), 1, k)

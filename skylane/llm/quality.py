@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import bounded, slices, stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_marks", "n_pipes", "n_lines", "n_stops")
 FEATURES = {
@@ -74,7 +74,7 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["doc_id long", *[f"{c} long" for c in COUNTS], *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def with_features(stats: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, slices
+from .common import bounded, crc, slices
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -240,4 +240,4 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import bounded, slices, stage
 
 WINDOW, MOST = 128, 8
 
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, toxic_windows:
             found = [(w, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows(x)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], type=pa.binary()), pa.array([t for _, t in found], type=pa.int32())], names=["window", "toxic"])
 
-    cuts = taken.filter("not weighs").mapInArrow(cut, "window binary, toxic int").distinct()
+    cuts = bounded(taken.filter("not weighs")).mapInArrow(cut, "window binary, toxic int").distinct()
     some = lambda toxic, n: [bytes(r.window) for r in cuts.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("window"), "window").limit(n).collect()]
     model = dictionaries(some(0, ordinary_windows), some(1, toxic_windows))
 
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, toxic_windows:
             rows = [features(count(text)).tolist() for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, type=pa.list_(pa.float64()))], names=["toxic", "weighs", "features"])
 
-    rows = taken.mapInArrow(weigh, "toxic int, weighs boolean, features array<double>").toArrow()  # about sample rows of ten numbers
+    rows = bounded(taken).mapInArrow(weigh, "toxic int, weighs boolean, features array<double>").toArrow()  # about sample rows of ten numbers
     if len(rows):
         x, y, use = np.array(rows["features"].to_pylist()), np.asarray(rows["toxic"]) == 1, np.asarray(rows["weighs"])
         if len(set(y[use])) < 2:
@@ -198,4 +198,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             arrays = [batch.column(0), pa.array(scores, type=pa.float64()), pa.array([int(x >= 0.5) for x in scores], type=pa.int32()), pa.array(n, type=pa.int64()), pa.array(hits, type=pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "predicted", "windows", "hits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, windows long, hits long")
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, score double, predicted int, windows long, hits long")
