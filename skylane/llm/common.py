@@ -51,7 +51,7 @@ def bounded(rows: DataFrame) -> DataFrame:
     This lowers the session's limit of bytes, the same for all operators and never below that; results don't depend on it.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = rows.sparkSession.conf.get(name, "")
+    now = rows.sparkSession.conf.get(name)
     if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= SLICE_BYTES:
         rows.sparkSession.conf.set(name, str(SLICE_BYTES))
     return rows
