@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_500_000
 #: Rows up to which a key list is broadcast (8 bytes a row); beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -99,7 +99,7 @@ class ChunkEncoder:
     """
 
     #: Distinct chunks in a generation; two generations are kept, so that frequent chunks stay.
-    REMEMBERED = 600_000
+    REMEMBERED = 300_000
     _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
     #: A space beside other white space or at an end of the text, where cutting before each space isn't right.
     _ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] | [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A | \z"
