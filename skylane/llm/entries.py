@@ -73,8 +73,18 @@ def op10_url_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_blocks.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_pii that SQL can express."""
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_quality that SQL can express."""
+    return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_exact_top_k, op3_toxicity, op4_pii, op5_bit_planes, op6_sentence_pieces, op7_language, op8_quality, op9_near_duplicates, op10_url_blocks)
+    f.__name__: f for f in (op1_packing, op2_exact_top_k, op3_toxicity, op4_pii, op5_bit_planes, op6_sentence_pieces, op7_language, op8_quality, op9_near_duplicates, op10_url_blocks, pii_base, quality_base)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +128,25 @@ r AS (
 o AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM r),
 b AS (SELECT DISTINCT node FROM o WHERE own = 'block')
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN contains(url, '://') AND node IN (SELECT node FROM b) THEN 'block' END, 'allow') AS verdict FROM o""",
+    "pii_base": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k(ord, kind, pat) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT doc_id, ord, kind, regexp_extract_all(t, pat) AS m, regexp_split_to_array(t, pat) AS p FROM t, k),
+s AS (SELECT doc_id, ord, kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {'m': m[i], 's': coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)})) AS x FROM m),
+d AS (SELECT *, regexp_replace(x.m, '[^0-9]', '', 'g') AS g FROM s),
+f AS (SELECT doc_id, ord, kind, CAST(x.s AS BIGINT) AS b, CAST(x.s + len(x.m) AS BIGINT) AS e FROM d WHERE CASE kind WHEN 'email' THEN TRUE
+  WHEN 'ip' THEN len(list_filter(string_split(x.m, '.'), lambda o: len(ltrim(o, '0')) > 3 OR TRY_CAST(o AS HUGEINT) > 255)) = 0
+  WHEN 'card' THEN len(g) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, len(g)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(g, len(g) - i, 1) AS INT) ELSE 2 * CAST(substr(g, len(g) - i, 1) AS INT) - CASE WHEN substr(g, len(g) - i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+  ELSE len(g) BETWEEN 8 AND 15 END)
+SELECT t.doc_id, count(b) FILTER (kind = 'email') AS n_email, count(b) FILTER (kind = 'ip') AS n_ip, count(b) FILTER (kind = 'card') AS n_card, count(b) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY ord, b), '')) AS base_sha256 FROM t LEFT JOIN f USING (doc_id) GROUP BY t.doc_id""",
+    "quality_base": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM t WHERE len(w) > 4),
+r AS (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+a AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM t JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a""",
 }

@@ -41,6 +41,13 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
+def _verdict(rule: Column, rules: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for name, verdict in rules.items():
+        out = F.when(rule == name, F.lit(verdict)).otherwise(out)
+    return out
+
+
 def resolve(url: Column, link: Column) -> Column:
     """The absolute address of a link on the page of a url, as browsers see it; null for other schemes than http(s) and empty links."""
     link = F.regexp_replace(F.trim(link), "(?i)&amp;|&#38;|&#x26;", "&")
@@ -62,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | N
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html).
 
     rules: pattern -> "allow" or "block". A page that a rule fits has that rule's verdict, so an explicit allow stays
-    whatever its aliases are. Any other page is blocked if a page that a rule blocks is in its component, which redirects
+    whatever its aliases are. Any other page is blocked if a page or a link's target that a rule blocks is in its component, which redirects
     (source, target urls), canonical links, meta refreshes and variants of one address span; else it is allowed.
     A null url, or one without ://, has an empty host and path, no aliases, and is allowed. Repeated rows are judged alike.
     Links are resolved against the page's url: whole, without a scheme, from the root, or from the page's folder.
@@ -71,20 +78,18 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | N
     address = F.when(F.col("url").contains("://"), canonical(F.col("url")))
     judged = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), address.alias("node"))
     judged = judged.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-    own = F.lit(None).cast("string")
-    for rule, verdict in rules.items():
-        own = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(own)
-    judged = judged.withColumn("own", own)
+    judged = judged.withColumn("own", _verdict(F.col("rule"), rules))
     targets = F.array(*[F.regexp_extract("html", x, 1) for x in (_LINK, _REFRESH)])
     marked = F.col("html").rlike(r"(?i)canonical|http-equiv")  # most pages have neither
     links = judged.filter(F.col("node").isNotNull() & marked).select("node", "url", F.explode(targets).alias("to"))
-    links = links.withColumn("to", resolve(F.col("url"), F.col("to"))).filter("to is not null").select(F.col("node").alias("a"), canonical(F.col("to")).alias("b"))
+    links = links.withColumn("to", resolve(F.col("url"), F.col("to"))).filter("to is not null").select(F.col("node").alias("a"), "to")
     if redirects is not None:
-        links = links.union(redirects.select(canonical(F.col("source")).alias("a"), canonical(F.col("target")).alias("b")))
-    links = stage(links.distinct(), "url-links")
+        links = links.union(redirects.select(canonical(F.col("source")).alias("a"), F.col("target").alias("to")))
+    target = _verdict(matching_rule(*host_and_path(F.col("to")), rules), rules) == "block"
+    links = stage(links.distinct().select("a", canonical(F.col("to")).alias("b"), F.coalesce(target, F.lit(False)).alias("bad")), "url-links")
     of_node = stage(connected_components(links).select("node", "component"), "url-components")
-    # Blocked addresses, one row each: those of blocked pages, and all of their components.
-    seeds = judged.filter("own = 'block' and node is not null").select("node").distinct()
+    # Blocked addresses, one row each: those of blocked pages and of blocked targets that aren't pages here, and all of their components.
+    seeds = judged.filter("own = 'block' and node is not null").select("node").union(links.filter("bad").select("b")).distinct()
     bad = of_node.join(seeds, "node", "left_semi").select("component").distinct()
     blocked = stage(seeds.union(of_node.join(bad, "component", "left_semi").select("node")).distinct(), "url-blocked")
     few = blocked.count() <= BROADCAST_ROWS

@@ -129,6 +129,47 @@ def test_language(spark, docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_held_out(spark, docs, labels):
+    """Rules from two thirds of the labels, on the others."""
+    from pyspark.sql import functions as F
+
+    from skylane.llm import quality
+
+    sf = "/root/testdata/sf0.01"
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    held = {r.doc_id: r.quality for r in marks.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 0}
+    rows = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), marks.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 0))
+    right = [r.kept == (held[r.doc_id] == 1) for r in rows.collect() if r.doc_id in held and not r.base_failed]
+    assert len(right) > 50 and np.mean(right) > 0.9
+
+
+def test_language_recounted(spark):
+    """Predictions against a plain count, text by text."""
+    from skylane.llm import language
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(rows)
+    assert model.log_p.shape == (len(model.languages), 1 << model.bits)
+    counts = {}
+    for r in rows.collect():
+        for buckets, _ in language.ngrams([r.text], model.bits):
+            counts.setdefault(r.lang, Counter()).update(buckets.tolist())
+    for i, lang in enumerate(model.languages):
+        total = sum(counts[lang].values()) + 0.5 * (1 << model.bits)
+        assert all(abs(model.log_p[i, b] - np.log((n + 0.5) / total)) < 1e-4 for b, n in list(counts[lang].items())[:500])
+    for r in language.predict(rows, model, keep=["text"]).collect():
+        odds = model.prior + sum(model.log_p[:, b].astype(float).sum(axis=1) for b, _ in language.ngrams([r.text], model.bits))
+        assert r.lang_pred == model.languages[int(odds.argmax())]
+        assert abs(r.score - 1 / np.exp((odds - odds.max()) / 3).sum()) < 1e-6
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(marks[r.doc_id], r.predicted) for r in entries.op3_toxicity(spark, sf).filter("held_out").collect() if r.doc_id in marks]
+    assert np.mean([p for t, p in held if t]) > 0.7 and np.mean([p for t, p in held if not t]) < 0.05
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

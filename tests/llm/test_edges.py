@@ -144,6 +144,29 @@ def test_pii(docs, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_long_chunks_without_a_blank():
+    import time
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ours, model = sentence_pieces.PieceEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(6)
+    for n in (63, 64, 65, 66, 3000, 200_000):
+        text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé漢☃"), n))
+        began = time.time()
+        assert np.frombuffer(ours.encode([text])[0], dtype="<u4").tolist() == model.encode(text)
+        assert time.time() - began < 10
+
+
+def test_links_are_resolved(spark):
+    links = {1: "//bad.net/x", 2: "/x", 3: "sub/x?a=1&amp;b=2", 4: "mailto:a@b.net", 5: "https://bad.net/x", 6: "?q=1"}
+    rows = [(i, f"http://one{i}.io/d/p", f'<link rel="canonical" href="{x}">') for i, x in links.items()] + [(10, "https://bad.net/x", "<p>" * 100_000), (11, "http://one2.io/x", None), (12, "http://one3.io/d/sub/x?b=2&a=1", None), (1, "http://one1.io/d/p", None), (13, "http://x.io/" + "y" * 50_000, "")]
+    moved = spark.createDataFrame([("http://one3.io/d/sub/x?a=1&b=2", "http://bad.net/x"), ("http://one2.io/x", "http://bad.net/")], "source string, target string")
+    got = {(r.page_id, r.host): r.verdict for r in url_blocks.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES, moved).collect()}
+    assert {k[0]: v for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow", 10: "block", 11: "block", 12: "block", 13: "allow"}
+
+
 def test_pii_spans_and_redaction(spark):
     text = "é a@b.c_x@d.ee 1.2.3.4.5 999.1.1.1; +49 (30) 1234567; 4111 1111 1111 1111"
     row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["text"])
@@ -153,6 +176,19 @@ def test_pii_spans_and_redaction(spark):
     assert got.clean.startswith("é [EMAIL][EMAIL] [IP].5 999.1.1.1")
 
 
+def test_pii_base_of_random_texts(spark):
+    """Texts rich in zero parts, runs of digits and adjacent matches, against the contract's patterns."""
+    from .test_contracts import base_spans
+
+    rng = np.random.default_rng(4)
+    bits = ["0", "00", "10", "127", "255", "256", ".", ".", "1.2.3.4", "0.0.0.0", " ", "-", "+", "+49 30", "(", ")", "4111 1111 1111 1111", "4111111111111111", "a@b.c", "@", "x", "é", "\n", "7", "1234567"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(1200)] + ["10.0.0.1 127.0.0.1", "8.8.8.8,8.8.8.8", "001.002.003.004", None, ""]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        assert [f"{x.kind}:{x.start}:{x.end}" for x in r.spans if x.base] == base_spans(texts[r.doc_id])
+
+
 def test_long_runs_do_not_overflow(spark):
     text = "1 " * 50_000 + "a" * 200_000 + "@" + "x." * 50_000
     assert pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans is not None
@@ -234,6 +270,43 @@ def test_pipeline_removes_copies_above_four_fifths(spark):
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == want
 
 
+def test_near_duplicates_whatever_counts_as_rare(spark, monkeypatch):
+    """How many owners make a shingle rare changes the way pairs are found, not which are linked."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for i in range(70):
+            words = list(base)
+            for at in rng.integers(0, 80, i % 6):
+                words[at] = f"g{g}x{rng.integers(0, 30)}"
+            rows.append((100 * g + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for rare in (0, 2, 16, 1000):
+        monkeypatch.setattr(near_dups, "RARE", rare)
+        found.append({r.doc_id: r.component_id for r in near_dups.near_duplicates(df).collect()})
+    assert all(x == found[0] for x in found)
+
+
+def test_pipeline_edges(spark):
+    """Nulls, repeated ids and an empty table through the stages that filter and change documents."""
+    import corpus_pipeline
+
+    texts = [None, "", "word " * 30, *[" ".join(f"w{i}n{k}" for i in range(40)) for k in range(12)]]
+    rows = [(i, t, "en" if i % 3 else None, None, 1) for i, t in enumerate(texts)] + [(None, texts[5] + " more", "en", "x", 1), (7, texts[7], "en", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{shared_dir(spark)}/edge/labels.parquet")
+    sf = f"{shared_dir(spark)}/edge"
+    for part, n in ((docs, None), (docs.limit(0), 0)):
+        for name, step in corpus_pipeline.STAGES:
+            part = step(spark, part, sf)
+            assert n is None or part.count() == n
+            if name != "packing":
+                assert part.columns == list(corpus_pipeline.COLUMNS)
+        assert n is not None or {r.doc_id for r in part.collect()} >= {3, 4, 7}
+
+
 def test_components(spark):
     rows = [(3, 2), (2, 1), (9, 8), (7, 8), (5, 5), (1, 3), (None, 4)] + [(i, i + 1) for i in range(20, 60)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
