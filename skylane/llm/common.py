@@ -98,18 +98,17 @@ class ChunkEncoder:
     library finds before it cuts, are encoded by it as a whole.
     """
 
-    #: Distinct chunks in a generation; two generations are kept, so that frequent chunks stay.
-    REMEMBERED = 300_000
     _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
     #: A space beside other white space or at an end of the text, where cutting before each space isn't right.
     _ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] | [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A | \z"
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, remembered: int = 300_000):
+        """remembered: distinct chunks in a generation, of some 200 bytes each; two generations are kept, so that frequent chunks stay."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = spaced
+        self.spaced, self.remembered = spaced, remembered
         if spaced:  # a byte-level token has a character for each of its bytes
             import numpy as np
 
@@ -156,7 +155,7 @@ class ChunkEncoder:
         import numpy as np
         import pyarrow.compute as pc
 
-        if len(self.known) > self.REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy of its own: ascii_lower reads slices wrongly
@@ -199,8 +198,8 @@ class ChunkEncoder:
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> ChunkEncoder:
+def encoder(path: str, spaced: bool, remembered: int = 300_000) -> ChunkEncoder:
     """The worker's encoder for this file; workers are reused, so chunks stay known between tasks."""
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = ChunkEncoder(path, spaced)
+        _encoders[path, spaced] = ChunkEncoder(path, spaced, remembered)
     return _encoders[path, spaced]
