@@ -141,14 +141,17 @@ class ChunkEncoder:
 
     def _ids(self, chunks: list[str], joined: bool = False) -> list[bytes]:
         """Ids of each chunk; those not met before are encoded together."""
-        new = []
-        for x in set(chunks).difference(self.known):
-            if x in self.older:
-                self.known[x] = self.older[x]
-            else:
-                new.append(x)
-        self._learn(new, joined)
-        return [self.known[x] for x in chunks]
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            new = []
+            for x in {x for x, ids in zip(chunks, found, strict=True) if ids is None}:
+                if x in self.older:
+                    self.known[x] = self.older[x]
+                else:
+                    new.append(x)
+            self._learn(new, joined)
+            found = list(map(self.known.__getitem__, chunks))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple:
         """The ids of all texts one after another (uint32) and their number for each text (int64); a null text is empty."""
