@@ -121,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
             return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(row, types, strict=True)], names=["shard", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in slices(batches):
-            ids, lengths = encoder(tokenizer, spaced=True, remembered=800_000).encode(batch.column(1))
+            ids, lengths = encoder(tokenizer, spaced=True, remembered=400_000).encode(batch.column(1))
             data, at = memoryview(ids).cast("B"), 0
             for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
                 if held and held + n + 1 > segment:
