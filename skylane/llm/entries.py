@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, language, near_dups, packing, pii, pivot_search, quality, sentence_pieces, toxicity, url_blocks
+from . import bitplanes, digest_sql, language, lm_scores, merkle, near_dups, packing, pii, pivot_search, quality, sentence_pieces, toxicity, url_blocks, vector_codes
 from .common import id_remainder, shared_dir, table
 
 #: The contract's rules.
@@ -73,6 +74,27 @@ def op10_url_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_blocks.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=F.when(id_remainder("doc_id", 3) == 0, lower))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuning = F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string")) / 7), F.lit(16)) == 0
+    scores = lm_scores.score(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2, tuning)
+    return scores.withColumn("held_out", id_remainder("doc_id", 7) == 2)
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op13_lm_scores that SQL can express."""
+    return op13_lm_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4_pii that SQL can express."""
     return op4_pii(spark, sf_dir).drop("spans")
@@ -84,7 +106,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_exact_top_k, op3_toxicity, op4_pii, op5_bit_planes, op6_sentence_pieces, op7_language, op8_quality, op9_near_duplicates, op10_url_blocks, pii_base, quality_base)
+    f.__name__: f for f in (op1_packing, op2_exact_top_k, op3_toxicity, op4_pii, op5_bit_planes, op6_sentence_pieces, op7_language, op8_quality, op9_near_duplicates, op10_url_blocks, op11_vector_codes, op12_merkle_manifest, op13_lm_scores, pii_base, quality_base, lm_base)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,6 +150,9 @@ r AS (
 o AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM r),
 b AS (SELECT DISTINCT node FROM o WHERE own = 'block')
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN contains(url, '://') AND node IN (SELECT node FROM b) THEN 'block' END, 'allow') AS verdict FROM o""",
+    "op11_vector_codes": digest_sql.vector_codes(),
+    "op12_merkle_manifest": digest_sql.merkle(),
+    "lm_base": digest_sql.base_scores(),
     "pii_base": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k(ord, kind, pat) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
