@@ -2,14 +2,14 @@
 
 A route's grammar here: blank-separated tokens; the first may be a speed and level; then may come a departure procedure,
 and last an arrival procedure; between them waypoints (with an optional /speed-level change), each optionally followed by
-a connection (DCT or an airway) if another waypoint follows.
+a connection (DCT or an airway). A token may fit several of these, so all readings are followed at once, token by token, and
+of those that reach the end the one with the fewest waypoints is taken.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,37 +35,78 @@ def _from_second(array: str) -> Column:
     return F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0)))
 
 
+#: What a reading costs: a waypoint 1; a procedure that could be an airway, and a connection that leads nowhere, 2, so that a waypoint is preferred there.
+POINT_COST, ODD_COST = 1, 2
+READING = "struct<cost:int,text:string>"
+
+
+def _readings(kinds: Column) -> Column:
+    """struct(text, reach): the best reading of tokens of the given kinds, a letter each (D departure, W waypoint, C connection, A arrival), null if there is none, and how many tokens any reading takes in.
+
+    kinds: array of struct(w, c, p, odd). A reading is kept for each state of the grammar, as all that follows depends on the state alone.
+    """
+    none = F.lit(None).cast(READING)
+    begin = F.struct(F.lit(0).alias("cost"), F.lit("").alias("text"))
+
+    def then(states: list[Column], fits: Column, letter: str, cost: Column) -> Column:
+        best = F.array_min(F.array(*states))  # nulls, for states not reached, are passed over
+        return F.when(fits & best.isNotNull(), F.struct((best["cost"] + cost).cast("int").alias("cost"), F.concat(best["text"], F.lit(letter)).alias("text"))).otherwise(none)
+
+    def step(s: Column, k: Column) -> Column:
+        procedure = F.when(k["odd"], F.lit(ODD_COST)).otherwise(F.lit(0))
+        moved = {
+            "begin": none,
+            "departed": then([s["begin"]], k["p"], "D", procedure),
+            "point": then([s["begin"], s["departed"], s["point"], s["connection"]], k["w"], "W", F.lit(POINT_COST)),
+            "connection": then([s["point"]], k["c"], "C", F.lit(0)),
+            "arrived": then([s["point"], s["connection"]], k["p"], "A", procedure),
+        }
+        alive = F.coalesce(*moved.values()).isNotNull()
+        return F.struct(*[v.alias(n) for n, v in moved.items()], (s["reach"] + alive.cast("int")).alias("reach"))
+
+    start = F.struct(begin.cast(READING).alias("begin"), *[none.alias(n) for n in ("departed", "point", "connection", "arrived")], F.lit(0).alias("reach"))
+
+    def finish(s: Column) -> Column:
+        dangling = F.when(s["connection"].isNotNull(), F.struct((s["connection"]["cost"] + ODD_COST).cast("int").alias("cost"), s["connection"]["text"].alias("text")))
+        return F.struct(F.array_min(F.array(s["point"], dangling, s["arrived"]))["text"].alias("text"), s["reach"].alias("reach"))
+
+    return F.aggregate(kinds, start, step, finish)
+
+
 def parse_routes(routes: DataFrame, text: str = "route") -> DataFrame:
-    """Adds parsed: struct(config, departure, arrival, segments, valid).
+    """Adds parsed: struct(config, departure, arrival, segments, valid, reason).
 
-    segments: array of ident, via (the connection that follows, DCT or an airway), tas, level. valid is false where a
-    token fits nothing, and for routes without a waypoint or null.
+    segments: array of ident, via (the connection that follows, DCT or an airway), tas, level. Where no reading takes in all tokens, and for routes without
+    tokens or null, valid is false, departure, arrival and segments are null, and reason says why: the first token that no reading takes in, or that the route is empty or ends before a waypoint.
     """
     rows = routes.withColumn("_t", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
     rows = rows.withColumn("_config", speed_level(F.try_element_at("_t", F.lit(1))))
     rows = rows.withColumn("_t", F.when(F.col("_config").isNotNull(), _from_second("_t")).otherwise(F.col("_t")))
-    first, last = F.try_element_at("_t", F.lit(1)), F.try_element_at("_t", F.lit(-1))
-    # Five characters or fewer that also fit a waypoint are a waypoint.
-    proc = lambda t: t.rlike(PROCEDURE) & ~t.rlike(WAYPOINT)
-    rows = rows.withColumn("_dep", F.when((F.size("_t") > 1) & proc(first), first))
-    rows = rows.withColumn("_t", F.when(F.col("_dep").isNotNull(), _from_second("_t")).otherwise(F.col("_t")))
-    rows = rows.withColumn("_arr", F.when((F.size("_t") > 1) & proc(last), last))
-    rows = rows.withColumn("_t", F.when(F.col("_arr").isNotNull(), F.slice("_t", F.lit(1), F.size("_t") - 1)).otherwise(F.col("_t")))
-
-    def step(state: Column, token: Column) -> Column:
-        n = F.size(state["conn"])
-        is_conn = state["point"] & ((token == "DCT") | token.rlike(AIRWAY)) & (n < F.size("_t") - 1)
-        return F.struct((~is_conn).alias("point"), F.concat(state["conn"], F.array(is_conn)).alias("conn"))
-
-    start = F.struct(F.lit(False).alias("point"), F.array().cast("array<boolean>").alias("conn"))
-    rows = rows.withColumn("_conn", F.aggregate("_t", start, step, lambda s: s["conn"]))
-    zipped = F.arrays_zip(F.col("_t").alias("t"), F.col("_conn").alias("c"), _from_second("_t").alias("nt"), _from_second("_conn").alias("nc"))
-    change = lambda x: speed_level(F.nullif(F.element_at(F.split(x["t"], "/"), -1), x["t"]))
-    segment = lambda x: F.struct(F.element_at(F.split(x["t"], "/"), 1).alias("ident"), F.when(x["nc"], x["nt"]).alias("via"), change(x)["tas"].alias("tas"), change(x)["level"].alias("level"))
-    points = F.filter(zipped, lambda x: ~x["c"])
-    fits = F.forall(points, lambda x: F.element_at(F.split(x["t"], "/"), 1).rlike(WAYPOINT) & (~x["t"].contains("/") | change(x).isNotNull()))
-    parsed = F.struct(F.col("_config").alias("config"), F.col("_dep").alias("departure"), F.col("_arr").alias("arrival"), F.transform(points, segment).alias("segments"), (fits & (F.size(points) > 0)).alias("valid"))
-    return rows.withColumn("parsed", parsed).drop("_t", "_config", "_dep", "_arr", "_conn")
+    ident = lambda t: F.element_at(F.split(t, "/"), 1)
+    changed = lambda t: speed_level(F.nullif(F.element_at(F.split(t, "/"), -1), t))
+
+    def kind(t: Column) -> Column:
+        airway = t.rlike(AIRWAY)
+        return F.struct((ident(t).rlike(WAYPOINT) & (~t.contains("/") | changed(t).isNotNull())).alias("w"), ((t == "DCT") | airway).alias("c"), t.rlike(PROCEDURE).alias("p"), airway.alias("odd"))
+
+    rows = rows.withColumn("_k", F.transform("_t", kind)).withColumn("_r", _readings(F.col("_k")))
+    read, size = F.col("_r.text"), F.size("_t")
+    at = lambda i: F.substring(read, i, F.lit(1))
+    token = lambda i: F.element_at(F.col("_t"), i)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: at(i) == "W")
+    segment = lambda i: F.struct(ident(token(i)).alias("ident"), F.when((i < size) & (at(i + 1) == "C"), token(F.least(i + 1, size))).alias("via"), changed(token(i))["tas"].alias("tas"), changed(token(i))["level"].alias("level"))
+    known = read.isNotNull()
+    reason = F.when(~known, F.when(size == 0, "empty").when(F.col("_r.reach") < size, F.get("_t", F.col("_r.reach"))).otherwise("no waypoint"))
+    parsed = F.struct(
+        F.col("_config").alias("config"), F.when(known & read.startswith("D"), F.get("_t", F.lit(0))).alias("departure"), F.when(known & read.endswith("A"), F.try_element_at("_t", F.lit(-1))).alias("arrival"),
+        F.when(known, F.transform(places, segment)).alias("segments"), known.alias("valid"), reason.alias("reason"),
+    )
+    return rows.withColumn("parsed", parsed).drop("_t", "_config", "_k", "_r")
+
+
+def rejected_routes(parsed: DataFrame) -> DataFrame:
+    """The rows whose route didn't parse, with the reason in place of parsed."""
+    return parsed.filter(~F.col("parsed.valid")).withColumn("reason", F.col("parsed.reason")).drop("parsed")
 
 
 def running_values(segments: DataFrame, key: tuple[str, ...], columns: tuple[str, ...] = ("tas", "level"), order: str = "idx") -> DataFrame:
@@ -110,20 +151,41 @@ def airway_path(edges: list[tuple[int, str, str]], start: str, end: str) -> list
     return []
 
 
-def airway_paths(requests: DataFrame, airways: DataFrame) -> DataFrame:
+def airway_paths(requests: DataFrame, airways: DataFrame, most: int = 100_000) -> DataFrame:
     """(airway_id, start, end, pos, ident) for distinct requests (airway_id, start, end); no rows where there is no path.
 
-    An airway is a small graph, so each is searched in one task, once for all of its distinct requests.
+    The same as airway_path(), for all requests at once: a breadth-first search whose frontier is a table of searches and the nodes they have
+    come to, each with its path so far. A round joins the frontier with the edges by airway and node, so an airway that everybody asks for is spread over
+    its nodes, and keeps of each search's new nodes the path that is least by name, which is the one a queue in order of names finds first.
+    A search starts with a first edge, and a request with two edges at its start makes two, of which the first that gets there counts. The
+    longest path bounds the rounds (``most`` is a guard against bad input only).
     """
-    asked = requests.select("airway_id", "start", "end").distinct()
-    edges = airways.select(F.col("airway_id").alias("of"), "id", "start_waypoint", "end_waypoint")
-
-    def search(asked: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        graph = list(edges[["id", "start_waypoint", "end_waypoint"]].itertuples(index=False, name=None))
-        found = [(r.airway_id, r.start, r.end, i, x) for r in asked.itertuples() for i, x in enumerate(airway_path(graph, r.start, r.end))]
-        return pd.DataFrame(found, columns=["airway_id", "start", "end", "pos", "ident"])
-
-    return asked.groupBy("airway_id").cogroup(edges.groupBy("of")).applyInPandas(search, "airway_id string, start string, end string, pos int, ident string")
+    asked = requests.select("airway_id", "start", "end").distinct().filter("airway_id is not null and start is not null and end is not null")
+    edges = airways.select("airway_id", "id", F.col("start_waypoint").alias("a"), F.col("end_waypoint").alias("b")).filter("a is not null and b is not null")
+    ways = staged(edges.select("airway_id", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("airway_id", "e.*").distinct(), "ways")
+    touching = edges.select("airway_id", "id", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("start"), F.col("b").alias("first")))).otherwise(F.array(F.struct(F.col("a").alias("start"), F.col("b").alias("first")), F.struct(F.col("b").alias("start"), F.col("a").alias("first"))))).alias("e")).select("airway_id", "id", "e.*")
+    # More than two edges at a waypoint, and no search starts there: three are enough to know.
+    firsts = touching.groupBy("airway_id", "start").agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("one"), F.max(F.struct("id", "first")).alias("two")).filter("n <= 2")
+    firsts = firsts.select("airway_id", "start", F.explode(F.when(F.col("n") == 1, F.array("one")).otherwise(F.array("one", "two"))).alias("f")).select("airway_id", "start", F.col("f.id").alias("try"), F.col("f.first").alias("node"))
+    key = ["airway_id", "start", "end", "try"]
+    open_ = asked.join(firsts, ["airway_id", "start"]).withColumn("path", F.when(F.col("start") == F.col("end"), F.array("start")).otherwise(F.array("start", "node"))).withColumn("node", F.element_at("path", -1))
+    open_ = staged(open_.dropDuplicates(key), "open")
+    seen = open_.select(*key, F.explode(F.array_distinct(F.array("start", "node"))).alias("node"))
+    found: DataFrame | None = None
+    for _ in range(most):
+        here = open_.filter(F.col("node") == F.col("end")).select(*key, "path")
+        found = here if found is None else found.union(here)
+        left = open_.join(here.select(*key), key, "left_anti")
+        met = left.join(ways.withColumnRenamed("a", "node"), ["airway_id", "node"]).select(*key, F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+        fresh = staged(met.join(seen, [*key, "node"], "left_anti").groupBy(*key, "node").agg(F.min("path").alias("path")), "frontier")
+        if fresh.isEmpty():
+            break
+        # Among searches that are still open only nodes of the last two levels can be met again, as edges go both ways.
+        seen, open_ = open_.select(*key, "node").union(fresh.select(*key, "node")).union(fresh.select(*key, F.col("start").alias("node")).distinct()), fresh
+    else:
+        raise RuntimeError(f"paths did not end in {most} rounds")
+    best = found.groupBy("airway_id", "start", "end").agg(F.min_by("path", "try").alias("path"))
+    return best.select("airway_id", "start", "end", F.posexplode("path").alias("pos", "ident"))
 
 
 def expand_segments(parsed: DataFrame, airways: DataFrame) -> DataFrame:

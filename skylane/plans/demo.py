@@ -16,16 +16,13 @@ LATEST_SQL = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 PLANS_SQL = """plan AS (SELECT flight_id, user_id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY ts, event_id) - 1 AS INT) AS idx, event_id, lat + (event_id % 7) * 0.3e0 AS lat,
   lon + (event_id % 11) * 0.2e0 AS lon, CAST(300 + (event_id * 3) % 200 AS INT) AS tas, CAST(300 + (event_id % 3) * 10 AS INT) AS level FROM pos)"""
 STATES_SQL = """st AS (SELECT flight_id, user_id, lat + 0.05e0 AS lat, lon + 0.02e0 AS lon, fl AS level, gs AS knots, vs AS fpm FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY ts, event_id) AS rn FROM pos) WHERE rn = 1)"""
-PAIRS_SQL = """pr AS (SELECT a.flight_id AS flight_id_1, b.flight_id AS flight_id_2, a.lat AS lat_1, a.lon AS lon_1, a.fl AS level_1, a.gs AS knots_1, a.trk AS track_1, a.vs AS fpm_1, a.ts AS ts_1,
-  b.lat AS lat_2, b.lon AS lon_2, b.fl AS level_2, b.gs AS knots_2, b.trk AS track_2, b.vs AS fpm_2, b.ts AS ts_2
-  FROM latest a JOIN latest b ON a.user_id < b.user_id AND b.user_id <= a.user_id + 20)"""
 EVENTS_SQL = """ev AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS flight_id_1, CAST((user_id * 7 + 1) % 20 AS VARCHAR) AS flight_id_2, ts AS detected_at,
   CASE WHEN event_id % 9 <> 0 THEN 45e0 + (event_id % 40) / 20e0 END AS lat, CASE WHEN event_id % 9 <> 0 THEN 5e0 + (event_id % 30) / 20e0 END AS lon,
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 60) / 100e0 END AS remaining, event_id % 3 <> 0 AS active FROM events)"""
 POINTS_SQL = """pts AS (SELECT p_partkey AS id, 'W' || CAST(p_partkey % 50 AS VARCHAR) AS name, CASE WHEN p_partkey % 13 <> 0 THEN 44e0 + (p_partkey * 31 % 900) / 100e0 END AS lat,
   CASE WHEN p_partkey % 13 <> 0 THEN 4e0 + (p_partkey * 17 % 1700) / 100e0 END AS lon FROM part)"""
 NAVS_SQL = """nav AS (SELECT s_suppkey AS id, 'W' || CAST(s_suppkey % 60 AS VARCHAR) AS name, 44e0 + (s_suppkey * 41 % 900) / 100e0 AS lat, 4e0 + (s_suppkey * 23 % 1700) / 100e0 AS lon FROM supplier)"""
-ASKED_SQL = """asked AS (SELECT event_id, 'W' || CAST(event_id % 70 AS VARCHAR) AS name, lat, lon FROM pos WHERE event_id % 10 = 0)"""
+ASKED_SQL = """asked AS (SELECT event_id, 'W' || CAST(event_id % 70 AS VARCHAR) AS name, lat, lon FROM pos)"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,13 +78,18 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("flight_id", "user_id", (F.col("lat") + 0.05).alias("lat"), (F.col("lon") + 0.02).alias("lon"), F.col("flight_level").alias("level"), F.col("ground_speed_kt").alias("knots"), F.col("vertical_rate_fpm").alias("fpm"))
 
 
-def state_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest states of flights whose numbers are at most 20 apart: an equi-join on blocks of 20 numbers, own and next."""
-    rows = latest(spark, sf_dir).select("flight_id", F.col("lat"), "lon", F.col("flight_level").alias("level"), F.col("ground_speed_kt").alias("knots"), F.col("track_heading").alias("track"), F.col("vertical_rate_fpm").alias("fpm"), "ts", "user_id")
-    block = F.floor(F.col("user_id") / 20)
-    a = rows.select(*[F.col(c).alias(f"{c}_1") for c in rows.columns], F.explode(F.array(block, block + 1)).alias("_b"))
-    b = rows.select(*[F.col(c).alias(f"{c}_2") for c in rows.columns], block.alias("_b"))
-    return a.join(b, "_b").filter("user_id_1 < user_id_2 and user_id_2 <= user_id_1 + 20").drop("_b", "user_id_1", "user_id_2")
+def candidates(spark: SparkSession, sf_dir: str, threshold_h: float, max_skew_s: float) -> DataFrame:
+    """The pairs of flights that blocking finds among latest positions."""
+    from skylane.operators.blocking import candidate_pairs
+
+    return candidate_pairs(latest(spark, sf_dir), threshold_h, max_skew_s, "sphere").select("flight_id_1", "flight_id_2")
+
+
+def state_pairs(spark: SparkSession, sf_dir: str, threshold_h: float, max_skew_s: float) -> DataFrame:
+    """Both flights' latest states for every pair that blocking finds."""
+    rows = latest(spark, sf_dir).select("flight_id", "lat", "lon", F.col("flight_level").alias("level"), F.col("ground_speed_kt").alias("knots"), F.col("track_heading").alias("track"), F.col("vertical_rate_fpm").alias("fpm"), "ts")
+    one, two = (rows.select(*[F.col(c).alias(f"{c}_{i}") for c in rows.columns]) for i in (1, 2))
+    return candidates(spark, sf_dir, threshold_h, max_skew_s).join(one, "flight_id_1").join(two, "flight_id_2")
 
 
 def conflict_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +112,6 @@ def navaids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("W"), (k % 60).cast("string")).alias("identificator"), (44.0 + (k * 41 % 900) / F.lit(100.0)).alias("lat"), (4.0 + (k * 23 % 1700) / F.lit(100.0)).alias("lon"))
 
 
-def asked_points(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    return positions(spark, sf_dir).filter(F.col("event_id") % every == 0).select("event_id", F.concat(F.lit("W"), (F.col("event_id") % 70).cast("string")).alias("ident"), "lat", "lon")
+def asked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named point for every position."""
+    return positions(spark, sf_dir).select("event_id", F.concat(F.lit("W"), (F.col("event_id") % 70).cast("string")).alias("ident"), "lat", "lon")

@@ -112,6 +112,44 @@ def c10_expand_routes(spark, sf):
     return out.select("flight_id", place.alias("place"), F.substring("ident", 1, 1).alias("ident"), F.col("tas").cast("int").alias("tas"), F.col("level").cast("int").alias("level"))
 
 
+#: Routes whose tokens fit several classes, from an event's number: with or without speed, procedures at either end, airways, changes, and tokens that fit nothing.
+_ROUTES = """rt AS (SELECT event_id, concat_ws(' ', CASE WHEN event_id % 3 = 0 THEN 'N0' || CAST(300 + event_id % 200 AS VARCHAR) || 'F' || CAST(100 + event_id % 300 AS VARCHAR) END, CASE WHEN event_id % 5 < 2 THEN 'DCT' END,
+  CASE event_id % 7 WHEN 0 THEN 'OK' || CAST(event_id % 9 + 1 AS VARCHAR) || 'A' WHEN 1 THEN 'BALTU' || CAST(event_id % 8 + 1 AS VARCHAR) || 'K' WHEN 2 THEN 'L' || CAST(event_id % 900 AS VARCHAR) END,
+  'W' || CAST(event_id % 50 AS VARCHAR), CASE event_id % 4 WHEN 0 THEN 'DCT' WHEN 1 THEN 'L' || CAST(event_id % 900 AS VARCHAR) WHEN 2 THEN 'UN' || CAST(event_id % 90 AS VARCHAR) END,
+  CASE WHEN event_id % 97 = 0 THEN '?' || CAST(event_id AS VARCHAR) ELSE 'A' || CAST(event_id % 60 AS VARCHAR) || CASE WHEN event_id % 6 = 0 THEN '/N0400F2' || CAST(10 + event_id % 80 AS VARCHAR) ELSE '' END END,
+  CASE event_id % 11 WHEN 0 THEN 'T' || CAST(event_id % 30 AS VARCHAR) WHEN 1 THEN 'DCT' WHEN 2 THEN 'LAM' || CAST(event_id % 9 + 1 AS VARCHAR) || 'B' WHEN 3 THEN 'LM' || CAST(event_id % 9 + 1 AS VARCHAR) || '1' END) AS route FROM events)"""
+#: Every reading of every route, token by token, and the one with the least cost (ties to the least text).
+_READ = r"""RECURSIVE rt0 AS (SELECT 1),
+tk AS (SELECT event_id, route, list_filter(string_split(regexp_replace(regexp_replace(route, '^(DCT( |$))+', ''), '^((?:[NK][0-9]{4}[FASM][0-9]{3,4}|M[0-9]{3}[FASM][0-9]{3,4})) DCT( |$)', '\1 '), ' '), lambda t: t <> '') AS a FROM rt),
+t AS (SELECT event_id, route, CASE WHEN regexp_matches(a[1], CFG) THEN a[1] END AS config, CASE WHEN regexp_matches(a[1], CFG) THEN a[2:] ELSE a END AS t FROM tk),
+k AS (SELECT event_id, i, t[i] AS t, regexp_matches(string_split(t[i], '/')[1], '^([A-Z]{2,3}[0-9]{6}|[0-9]{2}[NS][0-9]{3}[EW]|[0-9]{4}[NS][0-9]{5}[EW]|[A-Z0-9]{2,5})$') AND string_split(t[i], '/')[1] <> 'DCT' AS w,
+  t[i] = 'DCT' OR regexp_matches(t[i], AIR) AS c, regexp_matches(t[i], '^[A-Z][A-Z0-9]{1,4}[1-9]([A-HJ-NP-Z]|[0-9])$') AS p, CASE WHEN regexp_matches(t[i], AIR) THEN 2 ELSE 0 END AS odd FROM (SELECT event_id, t, unnest(range(1, len(t) + 1)) AS i FROM t)),
+m(a, b, l) AS (VALUES ('S', 'D', 'D'), ('S', 'P', 'W'), ('D', 'P', 'W'), ('P', 'P', 'W'), ('C', 'P', 'W'), ('P', 'C', 'C'), ('P', 'A', 'A'), ('C', 'A', 'A')),
+r AS (SELECT event_id, 0 AS i, 'S' AS st, 0 AS cost, '' AS txt FROM t UNION ALL
+  SELECT r.event_id, k.i, m.b, r.cost + CASE m.l WHEN 'W' THEN 1 WHEN 'C' THEN 0 ELSE odd END, r.txt || m.l FROM r JOIN k ON k.event_id = r.event_id AND k.i = r.i + 1 JOIN m ON m.a = r.st AND CASE m.l WHEN 'W' THEN w WHEN 'C' THEN c ELSE p END),
+f AS (SELECT r.event_id, row_number() OVER (PARTITION BY r.event_id ORDER BY cost + CASE st WHEN 'C' THEN 2 ELSE 0 END, txt) AS rn, txt FROM r JOIN t ON t.event_id = r.event_id AND len(t.t) = r.i WHERE st IN ('P', 'C', 'A'))""".replace("CFG", "'^([NK][0-9]{4}[FASM][0-9]{3,4}|M[0-9]{3}[FASM][0-9]{3,4})$'").replace("AIR", "'^(U[A-Z][0-9]{1,4}|[A-Z][0-9]{1,4}[A-Z]?)$'")
+
+
+@query("""SELECT t.event_id, t.route, txt IS NOT NULL AS valid, CASE WHEN starts_with(txt, 'D') THEN t[1] END AS departure, CASE WHEN ends_with(txt, 'A') THEN t[len(t)] END AS arrival,
+  CASE WHEN txt IS NOT NULL THEN array_to_string(list_transform(list_filter(range(1, len(t) + 1), lambda i: txt[i] = 'W'), lambda i: string_split(t[i], '/')[1] || CASE WHEN txt[i + 1] = 'C' THEN '>' || t[i + 1] ELSE '' END), ' ') END AS segments FROM t LEFT JOIN f ON f.event_id = t.event_id AND rn = 1""", _READ.replace("RECURSIVE rt0 AS (SELECT 1)", "RECURSIVE " + _ROUTES))
+def x3_route_readings(spark, sf):
+    e = F.col("event_id")
+    n = lambda m, plus=0: (e % m + plus).cast("string")
+    end = (
+        F.when(e % 11 == 0, F.concat(F.lit("T"), n(30))).when(e % 11 == 1, "DCT")
+        .when(e % 11 == 2, F.concat(F.lit("LAM"), n(9, 1), F.lit("B"))).when(e % 11 == 3, F.concat(F.lit("LM"), n(9, 1), F.lit("1")))
+    )
+    route = F.concat_ws(
+        " ", F.when(e % 3 == 0, F.concat(F.lit("N0"), n(200, 300), F.lit("F"), n(300, 100))), F.when(e % 5 < 2, "DCT"),
+        F.when(e % 7 == 0, F.concat(F.lit("OK"), n(9, 1), F.lit("A"))).when(e % 7 == 1, F.concat(F.lit("BALTU"), n(8, 1), F.lit("K"))).when(e % 7 == 2, F.concat(F.lit("L"), n(900))),
+        F.concat(F.lit("W"), n(50)), F.when(e % 4 == 0, "DCT").when(e % 4 == 1, F.concat(F.lit("L"), n(900))).when(e % 4 == 2, F.concat(F.lit("UN"), n(90))),
+        F.when(e % 97 == 0, F.concat(F.lit("?"), e.cast("string"))).otherwise(F.concat(F.lit("A"), n(60), F.when(e % 6 == 0, F.concat(F.lit("/N0400F2"), n(80, 10))).otherwise(""))), end,
+    )
+    p = F.col("parsed")
+    segments = F.array_join(F.transform(p["segments"], lambda s: F.concat_ws(">", s["ident"], s["via"])), " ")
+    return routes.parse_routes(_events(spark, sf).select("event_id", route.alias("route"))).select("event_id", "route", p["valid"].alias("valid"), p["departure"].alias("departure"), p["arrival"].alias("arrival"), F.when(p["valid"], segments).alias("segments"))
+
+
 # Tables, events
 
 
@@ -140,7 +178,7 @@ def e4_conflict_segments(spark, sf):
 
 
 _KEYS = "least(a.flight_id_1, a.flight_id_2) = least(b.flight_id_1, b.flight_id_2) AND greatest(a.flight_id_1, a.flight_id_2) = greatest(b.flight_id_1, b.flight_id_2)"
-_RECONCILE = f"""pd AS (SELECT flight_id_1, flight_id_2, CAST(row_number() OVER (PARTITION BY least(flight_id_1, flight_id_2), greatest(flight_id_1, flight_id_2) ORDER BY id) AS INT) AS ordinal, coalesce(lat, 45e0) + 0.1e0 AS lat, coalesce(lon, 5e0) AS lon, coalesce(remaining, 0) AS remaining FROM ev WHERE id % 50 = 0),
+_RECONCILE = f"""pd AS (SELECT flight_id_1, flight_id_2, CAST(row_number() OVER (PARTITION BY least(flight_id_1, flight_id_2), greatest(flight_id_1, flight_id_2) ORDER BY id) AS INT) AS ordinal, coalesce(lat, 45e0) + 0.1e0 AS lat, coalesce(lon, 5e0) AS lon, coalesce(remaining, 0) AS remaining FROM ev),
 m AS (SELECT * FROM (SELECT a.*, b.id, row_number() OVER (PARTITION BY least(a.flight_id_1, a.flight_id_2), greatest(a.flight_id_1, a.flight_id_2), ordinal ORDER BY b.remaining NULLS LAST, b.id NULLS LAST) AS rn
   FROM pd a LEFT JOIN ev b ON b.active AND {_KEYS} AND {hav_nm('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 15) WHERE rn = 1),
 u AS (SELECT id, max_by(lat, ordinal) AS lat, max_by(remaining, ordinal) AS remaining FROM m WHERE id IS NOT NULL GROUP BY id),
@@ -210,4 +248,4 @@ def f2_default_threshold(spark, sf):
     return pairs.agg(F.count("*").alias("pairs"), F.countDistinct("flight_id_1").alias("flights"))
 
 
-from . import import_queries, whole_queries  # noqa: E402, F401  registers more
+from . import import_queries  # noqa: E402, F401  registers more

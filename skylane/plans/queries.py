@@ -233,11 +233,15 @@ r5 AS (SELECT *, CASE WHEN abs(qa) < 1e-10 THEN CASE WHEN qc < 0 THEN '-inf'::DO
   CASE WHEN abs(qa) < 1e-10 THEN CASE WHEN qc < 0 THEN 'inf'::DOUBLE END WHEN qb * qb - 4 * qa * qc >= 0 THEN (-qb + sqrt(greatest(0e0, qb * qb - 4 * qa * qc))) / (2 * qa) END AS h1,
   CASE WHEN abs(vz) < 1e-10 THEN CASE WHEN abs(rz) < sep THEN '-inf'::DOUBLE END ELSE least((sep - rz) / vz, (-sep - rz) / vz) END AS v0, CASE WHEN abs(vz) < 1e-10 THEN CASE WHEN abs(rz) < sep THEN 'inf'::DOUBLE END ELSE greatest((sep - rz) / vz, (-sep - rz) / vz) END AS v1 FROM r4),
 rel AS (SELECT *, greatest(h0, v0) AS t0, least(h1, v1) AS t1, h0 IS NOT NULL AND v0 IS NOT NULL AND greatest(h0, v0) <= least(h1, v1) AND least(h1, v1) >= 0 AS hit FROM r5)"""
-_CPA = (P, L, demo.PAIRS_SQL, _REL)
+#: Pairs that blocking finds, and both flights' states.
+_CAN_MEET = f"a.flight_id < b.flight_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < {SKEW_S * 1_000_000} AND {_NM} / (a.gs + b.gs) <= 0.25"
+_PAIRS = f"""pr AS (SELECT a.flight_id AS flight_id_1, b.flight_id AS flight_id_2, a.lat AS lat_1, a.lon AS lon_1, a.fl AS level_1, a.gs AS knots_1, a.trk AS track_1, a.vs AS fpm_1, a.ts AS ts_1,
+  b.lat AS lat_2, b.lon AS lon_2, b.fl AS level_2, b.gs AS knots_2, b.trk AS track_2, b.vs AS fpm_2, b.ts AS ts_2 FROM latest a JOIN latest b ON {_CAN_MEET})"""
+_CPA = (P, L, _PAIRS, _REL)
 
 
 def _cpa(spark, sf) -> DataFrame:
-    return conflicts.closest_approach(demo.state_pairs(spark, sf)).filter("conflict is not null")
+    return conflicts.closest_approach(demo.state_pairs(spark, sf, 0.25, SKEW_S)).filter("conflict is not null")
 
 
 @query("""SELECT flight_id_1, flight_id_2, round(sqrt(pow(rx + vx * t, 2) + pow(ry + vy * t, 2)), 6) AS horizontal_nm, round(rz + vz * t, 6) AS vertical_nm, round(t, 6) AS cpa_h,
@@ -269,9 +273,9 @@ def _moved(i: int) -> str:
   CAST(CASE WHEN {late} THEN round_even(level_{i} + fpm_{i} * 60 / (1852e0 / 0.3048e0) * {h} * 1.852e0 / 0.03048e0, 0) ELSE level_{i} END AS INT) AS level_{i}"""
 
 
-@query(f"SELECT flight_id_1, flight_id_2, {_moved(1)}, {_moved(2)} FROM pr WHERE abs(epoch_us(ts_1) - epoch_us(ts_2)) < 36000000000", P, L, demo.PAIRS_SQL)
+@query(f"SELECT flight_id_1, flight_id_2, {_moved(1)}, {_moved(2)} FROM pr WHERE abs(epoch_us(ts_1) - epoch_us(ts_2)) < 36000000000", P, L, _PAIRS)
 def j13_time_align(spark, sf):
-    near = demo.state_pairs(spark, sf).filter(conflicts.time_skew_s(F.col("ts_1"), F.col("ts_2")) < 36_000)
+    near = demo.state_pairs(spark, sf, 0.25, SKEW_S).filter(conflicts.time_skew_s(F.col("ts_1"), F.col("ts_2")) < 36_000)
     rows = conflicts.align_times(near)
     return rows.select("flight_id_1", "flight_id_2", *r6(lat_1=F.col("lat_1"), lat_2=F.col("lat_2")), F.col("level_1").cast("int"), F.col("level_2").cast("int"))
 
@@ -338,28 +342,30 @@ def a5_bounding_cube(spark, sf):
     return rows.select("flight_id", *r6(**{c: F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")}), F.col("min_level").cast("int"), F.col("max_level").cast("int"))
 
 
-_SIDES = """sd AS (SELECT user_id // 2 AS pair, user_id % 2 + 1 AS side, n, c.lat, c.lon, c.level, entry_h, c.knots FROM clip c JOIN st USING (flight_id)),
+_SIDES = """cd AS (SELECT a.flight_id AS one, b.flight_id AS two FROM latest a JOIN latest b ON MEET),
+sd AS (SELECT pair, side, n, c.lat, c.lon, c.level, entry_h, c.knots FROM clip c JOIN (SELECT one || '-' || two AS pair, 1 AS side, one AS flight_id FROM cd UNION ALL SELECT one || '-' || two, 2, two FROM cd) USING (flight_id)),
 g0 AS (SELECT *, sum(coalesce(NM, 0)) OVER (PARTITION BY pair, side ORDER BY n) / knots AS reach FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM sd WINDOW w AS (PARTITION BY pair, side ORDER BY n))),
 g1 AS (SELECT *, lead(lat) OVER w AS elat, lead(lon) OVER w AS elon, lead(level) OVER w AS elevel, lead(reach) OVER w AS ereach FROM g0 WINDOW w AS (PARTITION BY pair, side ORDER BY n)),
 lg AS (SELECT *, least(lat, elat) - 0.25e0 AS a, greatest(lat, elat) + 0.25e0 AS b, least(lon, elon) - 0.25e0 AS c, greatest(lon, elon) + 0.25e0 AS d, least(level, elevel) - 10 AS e, greatest(level, elevel) + 10 AS f FROM g1 WHERE elat IS NOT NULL),
 mt AS (SELECT x.pair, x.n AS leg_1, y.n AS leg_2, greatest(x.reach, y.reach) AS start_h, least(x.ereach, y.ereach) AS end_h FROM lg x JOIN lg y ON x.pair = y.pair AND x.side = 1 AND y.side = 2
-  AND x.e <= y.f AND x.f >= y.e AND x.a <= y.b AND x.b >= y.a AND x.c <= y.d AND x.d >= y.c AND x.ereach >= y.reach AND x.reach <= y.ereach)""".replace("NM", hav_nm("plat", "plon", "lat", "lon"))
+  AND x.e <= y.f AND x.f >= y.e AND x.a <= y.b AND x.b >= y.a AND x.c <= y.d AND x.d >= y.c AND x.ereach >= y.reach AND x.reach <= y.ereach)""".replace("NM", hav_nm("plat", "plon", "lat", "lon")).replace("MEET", _CAN_MEET)
 
 
 def _sided(spark, sf) -> DataFrame:
-    clip = motion.clip_to_horizon(_ahead(spark, sf))
-    u = F.col("user_id")
-    ids = demo.states(spark, sf).select("flight_id", F.floor(u / 2).alias("pair"), (u % 2 + 1).cast("int").alias("side"))
-    return clip.join(ids, "flight_id").drop("flight_id")
+    """Both flights' plans within the horizon for every pair that blocking finds."""
+    pairs = demo.candidates(spark, sf, 0.25, SKEW_S).withColumn("pair", F.concat_ws("-", "flight_id_1", "flight_id_2"))
+    side = lambda i: F.struct(F.lit(i).alias("side"), F.col(f"flight_id_{i}").alias("flight_id"))
+    ids = pairs.select("pair", F.explode(F.array(side(1), side(2))).alias("s")).select("pair", "s.*")
+    return motion.clip_to_horizon(_ahead(spark, sf)).join(ids, "flight_id").drop("flight_id")
 
 
-@query("SELECT pair, leg_1, leg_2, round(start_h, 6) AS start_h, round(end_h, 6) AS end_h FROM mt", *_WAY, _CLIP, _SIDES)
+@query("SELECT pair, leg_1, leg_2, round(start_h, 6) AS start_h, round(end_h, 6) AS end_h FROM mt", *_WAY, _CLIP, L, _SIDES)
 def j5_j6_meeting_legs(spark, sf):
     rows = boundaries.meeting_legs(boundaries.plan_legs(_sided(spark, sf), ("pair", "side")))
     return rows.select("pair", F.col("n_1").alias("leg_1"), F.col("n_2").alias("leg_2"), *r6(start_h=F.greatest("reach_h_1", "reach_h_2"), end_h=F.least("end_reach_h_1", "end_reach_h_2")))
 
 
-@query(f"SELECT x.pair FROM (SELECT pair, side, {_BOX} FROM sd GROUP BY pair, side) x JOIN (SELECT pair, side, {_BOX} FROM sd GROUP BY pair, side) y ON x.pair = y.pair AND x.side = 1 AND y.side = 2 AND x.min_level <= y.max_level AND x.max_level >= y.min_level AND x.min_lat <= y.max_lat AND x.max_lat >= y.min_lat AND x.min_lon <= y.max_lon AND x.max_lon >= y.min_lon", *_WAY, _CLIP, _SIDES)
+@query(f"SELECT x.pair FROM (SELECT pair, side, {_BOX} FROM sd GROUP BY pair, side) x JOIN (SELECT pair, side, {_BOX} FROM sd GROUP BY pair, side) y ON x.pair = y.pair AND x.side = 1 AND y.side = 2 AND x.min_level <= y.max_level AND x.max_level >= y.min_level AND x.min_lat <= y.max_lat AND x.max_lat >= y.min_lat AND x.min_lon <= y.max_lon AND x.max_lon >= y.min_lon", *_WAY, _CLIP, L, _SIDES)
 def c5_meeting_plans(spark, sf):
     return boundaries.meeting_plans(_sided(spark, sf))
 
@@ -533,7 +539,7 @@ def e3_circle_per_pair(spark, sf):
     return events.circle_per_pair(demo.conflict_events(spark, sf)).select("id")
 
 
-_PRED = """pd AS (SELECT flight_id_1, flight_id_2, CAST(row_number() OVER (PARTITION BY least(flight_id_1, flight_id_2), greatest(flight_id_1, flight_id_2) ORDER BY id) AS INT) AS ordinal, coalesce(lat, 45e0) + 0.1e0 AS lat, coalesce(lon, 5e0) AS lon, coalesce(remaining, 0) AS remaining FROM ev WHERE id % 50 = 0)"""
+_PRED = """pd AS (SELECT flight_id_1, flight_id_2, CAST(row_number() OVER (PARTITION BY least(flight_id_1, flight_id_2), greatest(flight_id_1, flight_id_2) ORDER BY id) AS INT) AS ordinal, coalesce(lat, 45e0) + 0.1e0 AS lat, coalesce(lon, 5e0) AS lon, coalesce(remaining, 0) AS remaining FROM ev)"""
 
 
 @query(f"""SELECT flight_id_1, flight_id_2, ordinal, id AS event_id FROM (SELECT p.*, e.id, row_number() OVER (PARTITION BY least(p.flight_id_1, p.flight_id_2), greatest(p.flight_id_1, p.flight_id_2), ordinal ORDER BY e.remaining NULLS LAST, e.id NULLS LAST) AS rn
@@ -542,8 +548,9 @@ def e1_j14_match_events(spark, sf):
     return events.match_events(_predictions(spark, sf), demo.conflict_events(spark, sf)).select("flight_id_1", "flight_id_2", "ordinal", "event_id")
 
 
-def _predictions(spark, sf, every: int = 50) -> DataFrame:
-    rows = demo.conflict_events(spark, sf).filter(F.col("id") % every == 0)  # a prediction for each fiftieth event, or for all
+def _predictions(spark, sf) -> DataFrame:
+    """A prediction for every event."""
+    rows = demo.conflict_events(spark, sf)
     w = Window.partitionBy(events.pair_key(F.col("flight_id_1"), F.col("flight_id_2"))).orderBy("id")
     zero = F.lit(0.0)
     return rows.select("flight_id_1", "flight_id_2", F.row_number().over(w).alias("ordinal"), (F.coalesce("middle_point_lat", F.lit(45.0)) + 0.1).alias("middle_lat"), F.coalesce("middle_point_lon", F.lit(5.0)).alias("middle_lon"), zero.alias("horizontal_nm"), zero.alias("vertical_nm"), F.coalesce("remaining_time", zero).alias("remaining_time"))

@@ -17,6 +17,12 @@ def text_of(xml: Column, *path: str) -> Column:
     return F.nullif(F.trim(F.xpath_string(xml, F.lit(f"string(({steps})[1])"))), F.lit(""))
 
 
+def text_below(xml: Column, *names: str) -> Column:
+    """Trimmed text of the first element of the last name at any depth below one of the name before, and so on; null if blank or absent."""
+    steps = "".join(f"//*[local-name()='{n}']" for n in names)
+    return F.nullif(F.trim(F.xpath_string(xml, F.lit(f"string(({steps})[1])"))), F.lit(""))
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
     """(line, xml) of a file with one member a line after a first line; prefixes are dropped so that each line parses alone."""
     rows = spark.read.text(path).withColumn("line", F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).filter("trim(value) <> ''")
@@ -69,7 +75,9 @@ def route_segments(rows: DataFrame) -> DataFrame:
 def flights_of_replies(replies: DataFrame, xml: str = "xml", route_field: str = "icao") -> DataFrame:
     """A row for every <flight> of replies (airspace, sample_time, xml) with a position and a level above ground.
 
-    The position is the last known one, else that of the profile; the route is the requested kind, else filed, else icao.
+    The position is the last known one, else that of the profile. Its latitude and longitude are those of point/position, of position, of the element
+    itself or of any below it, whichever comes first; without two numbers there, the first two of a ``pos`` below it, then of ``coordinates``.
+    The route is the requested kind, else filed, else icao.
     """
     bare = F.regexp_replace(F.col(xml), r"(</?)[A-Za-z0-9_.-]+:", "$1")
     each = replies.select("airspace", "sample_time", F.posexplode(F.regexp_extract_all(bare, F.lit(r"(?s)<flight>.*?</flight>"), F.lit(0))).alias("pos", "f"))
@@ -77,16 +85,25 @@ def flights_of_replies(replies: DataFrame, xml: str = "xml", route_field: str =
     first = lambda *names: F.coalesce(*[text_of(f, n) for n in names])
     where = F.when(text_of(f, "lastKnownPosition").isNotNull(), F.lit("lastKnownPosition")).otherwise(F.lit("ctfmPointProfile"))
     inside = lambda *path: F.when(where == "lastKnownPosition", text_of(f, "lastKnownPosition", *path)).otherwise(text_of(f, "ctfmPointProfile", *path))
+    source = lambda text, *path: F.when(where == "lastKnownPosition", text(f, "lastKnownPosition", *path)).otherwise(text(f, "ctfmPointProfile", *path))
+    degrees = lambda name: F.coalesce(*[source(text_of, *path, name) for path in (("point", "position"), ("position",), ())], source(text_below, name)).try_cast("double")
+    numbers = lambda name: F.transform(F.slice(F.split(F.trim(F.translate(source(text_below, name), ",", " ")), r"\s+"), 1, 2), lambda t: t.try_cast("double"))
+    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("lat"), b.alias("lon")))
+    two = lambda name: pair(F.get(numbers(name), F.lit(0)), F.get(numbers(name), F.lit(1)))
+    place = F.coalesce(pair(degrees("latitude"), degrees("longitude")), two("pos"), two("coordinates"))
     unit = inside("flightLevel", "unit")
     yes = lambda x: F.coalesce(to_bool(x), F.lit(False))
     rows = each.select(
         "airspace", "sample_time", "pos", first("aircraftId").alias("flight_id"), first("aircraftType").alias("aircraft_type"),
         first("aerodromeOfDeparture").alias("origin"), first("aerodromeOfDestination").alias("destination"), b2b_time(inside("timeOver")).alias("time_over"),
-        inside("position", "latitude").try_cast("double").alias("lat"), inside("position", "longitude").try_cast("double").alias("lon"),
+        place.alias("_place"),
         level_from(unit, inside("flightLevel", "level")).alias("flight_level"), (yes(inside("flightLevel", "ground")) | yes(inside("flightLevel", "ceiling"))).alias("_edge"),
         first(f"{route_field}Route", "filedRoute", "icaoRoute").alias("route_string"),
     )
-    return rows.filter("flight_id is not null and lat is not null and lon is not null and not _edge").drop("_edge")
+    found = rows.filter("flight_id is not null and _place is not null and not _edge")
+    columns = [c for c in rows.columns if c not in ("_edge", "_place")]
+    at = columns.index("time_over") + 1
+    return found.select(*columns[:at], F.col("_place.lat").alias("lat"), F.col("_place.lon").alias("lon"), *columns[at:])
 
 
 def check_window(start: datetime, end: datetime, now: datetime | None = None) -> None:

@@ -49,14 +49,39 @@ def test_routes(spark):
     p = parsed(spark, "N0450F310 DENUT L610 LAM")
     assert tuple(p.config) == (450, 310) and [(s.ident, s.via) for s in p.segments] == [("DENUT", "L610"), ("LAM", None)] and p.valid
     p = parsed(spark, "OKL1A DENUT L610 LAM BALTU1K")
-    assert p.departure == "OKL1A" or [s.ident for s in p.segments][:1] == ["OKL1A"]
-    assert p.arrival == "BALTU1K"
+    assert (p.departure, p.arrival) == ("OKL1A", "BALTU1K") and [(s.ident, s.via) for s in p.segments] == [("DENUT", "L610"), ("LAM", None)]
     assert [s.ident for s in parsed(spark, "DCT VLM").segments] == ["VLM"]
     assert [(s.ident, s.via) for s in parsed(spark, "N0447F380 DCT AMULU DCT KETEL").segments] == [("AMULU", "DCT"), ("KETEL", None)]
     assert [(s.ident, s.tas, s.level) for s in parsed(spark, "DENUT DCT LAM/N0400F200").segments] == [("DENUT", None, None), ("LAM", 400, 200)]
     assert not parsed(spark, "???").valid and not parsed(spark, None).valid
 
 
+@pytest.mark.parametrize("text,departure,segments,arrival", [
+    ("N0450F350 OKL1A BALTU L610 LAM LAM3A", "OKL1A", "BALTU>L610 LAM", "LAM3A"),
+    ("ANTAR UN133 PEREN DCT ABCD", None, "ANTAR>UN133 PEREN>DCT ABCD", None),
+    ("PEREN UL863 EVIVI", None, "PEREN>UL863 EVIVI", None),
+    ("N0447F380 DCT AMULU DCT KETEL DCT ROGMI T108 LANDU LANDU2A", None, "AMULU>DCT KETEL>DCT ROGMI>T108 LANDU", "LANDU2A"),
+    ("L610 LAM", None, "L610 LAM", None),  # what could be an airway is a waypoint where no connection can stand
+    ("LAM L610", None, "LAM L610", None),
+    ("LAM DCT", None, "LAM>DCT", None),
+    ("LAM DCT BALTU1K", None, "LAM>DCT", "BALTU1K"),
+    ("OKL1A", None, "OKL1A", None),
+    ("OKL1A OKL1A", "OKL1A", "OKL1A", None),
+    ("OKL1A OKL1A OKL1A", "OKL1A", "OKL1A", "OKL1A"),
+    ("52N020E DCT PSA030029 DCT 5230N02030E", None, "52N020E>DCT PSA030029>DCT 5230N02030E", None),
+])
+def test_ambiguous_routes(spark, text, departure, segments, arrival):
+    p = parsed(spark, text)
+    assert p.valid and p.reason is None
+    assert (p.departure, " ".join(s.ident + (f">{s.via}" if s.via else "") for s in p.segments), p.arrival) == (departure, segments, arrival)
+
+
+@pytest.mark.parametrize("text,reason", [("???", "???"), ("DENUT ??? LAM", "???"), ("", "empty"), (None, "empty"), ("N0450F310", "empty"), ("DENUT DCT LAM/N04", "LAM/N04"), ("BALTU1K", "no waypoint"), ("DENUT DCT DCT LAM", "DCT"), ("denut", "denut")])
+def test_rejected_routes(spark, text, reason):
+    rows = routes.parse_routes(spark.createDataFrame([(1, text), (2, "LAM")], "id int, route string"))
+    assert [tuple(r) for r in routes.rejected_routes(rows).collect()] == [(1, text, reason)]
+
+
 CHAIN = [(1, "A", "B"), (2, "B", "C"), (3, "C", "D")]
 
 

@@ -72,3 +72,20 @@ def test_paths_of_random_airways_are_shortest(spark):
         touching = [e for e in edges if e[1] == name and start in e[2:]]
         if not 1 <= len(touching) <= 2:
             assert (name, start, end) not in paths
+
+
+def test_frontier_search_equals_a_queue(spark):
+    """All requests at once against one search each: parallel edges, loops away from the start, unreachable ends, one airway with most requests."""
+    rng = random.Random(11)
+    edges = [(i, f"L{min(k, 9)}", f"W{rng.randint(0, 5 + k)}", f"W{rng.randint(0, 5 + k)}") for i, k in enumerate(rng.choices(range(14), k=150))]
+    chain = [(1000 + i, "HOT", f"P{i:02d}", f"P{i + 1:02d}") for i in range(25)] + [(2000, "HOT", "P03", "P20")]
+    asked = [(f"L{k}", f"W{a}", f"W{b}") for k in range(10) for a in range(12) for b in range(12)] + [("HOT", f"P{a:02d}", f"P{b:02d}") for a in range(26) for b in range(26)] + [("none", "A", "B"), (None, "A", "B")]
+    schema = "airway_id string, start string, end string"
+    found = routes.airway_paths(spark.createDataFrame(asked + asked[:50], schema), spark.createDataFrame(edges + chain, "id int, airway_id string, start_waypoint string, end_waypoint string")).collect()
+    paths = {}
+    for r in sorted(found, key=lambda r: r.pos):
+        paths.setdefault((r.airway_id, r.start, r.end), []).append(r.ident)
+    for name, start, end in asked:
+        own = [(i, a, b) for i, of, a, b in edges + chain if of == name]
+        if not any(a == b == start for _, a, b in own):
+            assert paths.get((name, start, end), []) == routes.airway_path(own, start, end)

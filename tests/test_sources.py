@@ -93,3 +93,26 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert {r.flight_id for r in spark.table("latest").collect()} == {"A", "B"}
     assert all(r.samples >= 1 for r in spark.table("spans").collect()) and spark.table("spans").count() > 0
+
+
+@pytest.mark.parametrize("where", [
+    "<point><position><latitude>50.1</latitude><longitude>14.2</longitude></position></point><latitude>9</latitude><longitude>9</longitude>",
+    "<position><latitude>50.1</latitude><longitude>14.2</longitude></position><latitude>9</latitude><longitude>9</longitude>",
+    "<other><latitude>9</latitude></other><latitude>50.1</latitude><longitude>14.2</longitude>",
+    "<coordinates><latitude>50.1</latitude><longitude>14.2</longitude></coordinates>",
+    "<pos>50.1 14.2</pos>",
+    "<a><g:pos>50.1, 14.2 7</g:pos></a>",
+    "<coordinates> 50.1,14.2 </coordinates>",
+    "<latitude>x</latitude><longitude>14</longitude><pos>50.1 14.2</pos>",
+    "<pos>50.1</pos><coordinates>50.1 14.2</coordinates>",
+])
+@pytest.mark.parametrize("source", ["lastKnownPosition", "ctfmPointProfile"])
+def test_positions_of_replies(spark, where, source):
+    xml = f"<reply><flight><aircraftId>A</aircraftId><{source}>{where}<flightLevel><unit>F</unit><level>90</level></flightLevel></{source}></flight></reply>"
+    (row,) = navdata.flights_of_replies(spark.createDataFrame([("LK", T0, xml)], "airspace string, sample_time timestamp, xml string")).collect()
+    assert (row.lat, row.lon, row.flight_level) == (50.1, 14.2, 90)
+
+
+def test_replies_without_a_position_are_dropped(spark):
+    flights = "".join(f"<flight><aircraftId>A</aircraftId><lastKnownPosition>{w}</lastKnownPosition></flight>" for w in ("<pos>a b</pos>", "<latitude>1</latitude>", "<coordinates>5</coordinates>", "<x/>"))
+    assert navdata.flights_of_replies(spark.createDataFrame([("LK", T0, f"<r>{flights}</r>")], "airspace string, sample_time timestamp, xml string")).count() == 0

@@ -2,9 +2,9 @@
 
 import os
 
-from skylane.plans import whole_queries
+from skylane.plans import demo
 from skylane.plans import more_queries  # noqa: F401  registers more
-from skylane.plans.queries import QUERIES
+from skylane.plans.queries import QUERIES, SKEW_S
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,15 +17,15 @@ def test_stream_writes_to_the_shared_folder(spark):
 
 
 def test_every_event_is_a_prediction(spark):
-    assert QUERIES["e1_j14_match_events_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert QUERIES["e1_j14_match_events"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
 def test_every_position_is_asked_for(spark):
-    assert QUERIES["j8_point_precedence_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert QUERIES["j8_point_precedence"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
 def test_pairs_are_those_of_blocking(spark):
     sf = "/root/testdata/sf0.01"  # users up to 150, so partners may be further apart than 20
-    found = {(r.flight_id_1, r.flight_id_2) for r in whole_queries._met_states(spark, sf).collect()}
+    found = {(r.flight_id_1, r.flight_id_2) for r in demo.state_pairs(spark, sf, 0.25, SKEW_S).collect()}
     assert found == {(r.flight_id_1, r.flight_id_2) for r in QUERIES["j2_blocking_pairs"](spark, sf).collect()}
     assert any(abs(int(a) - int(b)) > 20 for a, b in found)
