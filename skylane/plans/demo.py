@@ -19,6 +19,9 @@ STATES_SQL = """st AS (SELECT flight_id, user_id, lat + 0.05e0 AS lat, lon + 0.0
 EVENTS_SQL = """ev AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS flight_id_1, CAST((user_id * 7 + 1) % 20 AS VARCHAR) AS flight_id_2, ts AS detected_at,
   CASE WHEN event_id % 9 <> 0 THEN 45e0 + (event_id % 40) / 20e0 END AS lat, CASE WHEN event_id % 9 <> 0 THEN 5e0 + (event_id % 30) / 20e0 END AS lon,
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 60) / 100e0 END AS remaining, event_id % 3 <> 0 AS active FROM events)"""
+#: Each user's latest sample moved into a small, busy space, within a minute and a half of one moment.
+TRAFFIC_SQL = """traffic AS (SELECT flight_id, user_id, TIMESTAMP '2024-01-15 00:00:00' + to_seconds(event_id % 90) AS ts, 49e0 + (user_id * 37 % 100) / 100e0 AS lat, 14e0 + (user_id * 53 % 150) / 100e0 AS lon,
+  gs, trk, CAST(300 + user_id % 3 * 10 AS INT) AS fl, CASE WHEN user_id % 4 = 0 THEN 0 ELSE vs END AS vs FROM latest)"""
 POINTS_SQL = """pts AS (SELECT p_partkey AS id, 'W' || CAST(p_partkey % 50 AS VARCHAR) AS name, CASE WHEN p_partkey % 13 <> 0 THEN 44e0 + (p_partkey * 31 % 900) / 100e0 END AS lat,
   CASE WHEN p_partkey % 13 <> 0 THEN 4e0 + (p_partkey * 17 % 1700) / 100e0 END AS lon FROM part)"""
 NAVS_SQL = """nav AS (SELECT s_suppkey AS id, 'W' || CAST(s_suppkey % 60 AS VARCHAR) AS name, 44e0 + (s_suppkey * 41 % 900) / 100e0 AS lat, 4e0 + (s_suppkey * 23 % 1700) / 100e0 AS lon FROM supplier)"""
@@ -92,6 +95,26 @@ def state_pairs(spark: SparkSession, sf_dir: str, threshold_h: float, max_skew_s
     return candidates(spark, sf_dir, threshold_h, max_skew_s).join(one, "flight_id_1").join(two, "flight_id_2")
 
 
+def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's latest sample moved into a small, busy space, within a minute and a half of one moment."""
+    u = F.col("user_id")
+    return latest(spark, sf_dir).select(
+        "flight_id", "user_id", (F.lit("2024-01-15 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") % 90)).alias("ts"), (49.0 + (u * 37 % 100) / F.lit(100.0)).alias("lat"), (14.0 + (u * 53 % 150) / F.lit(100.0)).alias("lon"),
+        "ground_speed_kt", "track_heading", (300 + u % 3 * 10).cast("int").alias("flight_level"), F.when(u % 4 == 0, 0).otherwise(F.col("vertical_rate_fpm")).cast("int").alias("vertical_rate_fpm"),
+    )
+
+
+def traffic_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each flight of the traffic a plan along its track that begins behind it, turns a little and changes its level."""
+    rows = traffic(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("idx"))
+    k, u, at = F.col("idx"), F.col("user_id"), F.radians("track_heading")
+    ahead, turn = (k - 1) * 0.4, k * k * (u % 5 - 2) * 0.01
+    return rows.select(
+        "flight_id", "idx", F.concat(F.lit("P"), u.cast("string"), k.cast("string")).alias("ident"), (F.col("lat") + ahead * F.cos(at) + turn).alias("lat"), (F.col("lon") + 1.5 * ahead * F.sin(at) - turn).alias("lon"),
+        F.col("ground_speed_kt").alias("tas"), (F.col("flight_level") + F.when(k > 2, u % 2 * 10).otherwise(0)).cast("int").alias("level"),
+    )
+
+
 def conflict_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     placed = e % 9 != 0

@@ -242,6 +242,49 @@ def r3_stream_latest(spark, sf):
     return spark.read.schema(stream.schema).parquet(f"{out}/latest").select("flight_id", "event_id")
 
 
+def _slices(rows: DataFrame, time: str, n: int) -> tuple[DataFrame, list]:
+    """Rows with the number of their time slice, and the slices' numbers."""
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    part = F.least(F.floor((F.unix_micros(time) - F.unix_micros(F.lit(low))) * n / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)), F.lit(n - 1))
+    return rows.withColumn("_slice", part), list(range(n))
+
+
+def _as_files(spark, rows: DataFrame, time: str, n: int = 4) -> str:
+    """The rows as files of a folder that a stream reads one time slice after another."""
+    path = _shared(spark)
+    rows, numbers = _slices(rows, time, n)
+    for i in numbers:
+        rows.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("""SELECT flight_id, "start", last, samples, epoch_us(last) // 1000 + 21600002 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000 AS gone FROM (SELECT flight_id, min(ts) AS start, max(ts) AS last, count(*) AS samples FROM
+  (SELECT *, sum(g) OVER (PARTITION BY flight_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY flight_id ORDER BY ts, event_id)) <= 21600000000 THEN 0 ELSE 1 END AS g FROM pos)) GROUP BY flight_id, s)""", P)
+def r3_r4_stream_changes(spark, sf):
+    """Spans of activity as a stream's keyed state gives them, and which of them timers have closed."""
+    from skylane.streaming import activity
+
+    rows = demo.positions(spark, sf).withColumnRenamed("ts", "sample_time").select("sample_time", "flight_id", "lat", "lon")
+    path, out = _as_files(spark, rows, "sample_time"), _shared(spark)
+    changes = activity.stream_changes(replay.stream_samples(spark, path, rows.schema), 6 * 3600, "60 seconds")
+    changes.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/changes").awaitTermination()
+    spans = spark.read.parquet(f"{out}/changes").groupBy("flight_id", "start").agg(F.max("last").alias("last"), F.max("samples").alias("samples"), F.bool_or(F.col("kind") == "gone").alias("gone"))
+    return spans.select("flight_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "last")], "samples", "gone")
+
+
+@query()
+def r6_e1_detection_loop(spark, sf):
+    """Detected conflicts written to the event table, batch after batch, each once."""
+    from skylane.streaming import event_table
+
+    rows = demo.traffic(spark, sf).withColumn("route", F.when(F.col("user_id") % 2 == 0, F.lit("filed")))
+    rows = rows.withColumn("lat", F.col("lat") + F.minute("ts") * 0.05).select("flight_id", "ts", "lat", "lon", "ground_speed_kt", "track_heading", "flight_level", "vertical_rate_fpm", "route")
+    path, out = _as_files(spark, rows, "ts", 2), _shared(spark)
+    table = event_table.VersionedTable(spark, f"{out}/events", event_table.EVENTS)
+    event_table.start_loop(replay.stream_samples(spark, path, rows.schema), table, demo.traffic_plans(spark, sf), f"{out}/checkpoint", None, mode="sphere").awaitTermination()
+    return table.read()
+
+
 @query("SELECT count(*) AS pairs, count(DISTINCT flight_id_1) AS flights FROM (SELECT a.flight_id AS flight_id_1 FROM latest a JOIN latest b ON a.flight_id < b.flight_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 300000000 AND " + hav_nm("a.lat", "a.lon", "b.lat", "b.lon") + " / (a.gs + b.gs) <= 0.5)", P, L)
 def f2_default_threshold(spark, sf):
     pairs = blocking.candidate_pairs(demo.latest(spark, sf), mode="sphere")

@@ -593,17 +593,41 @@ def n2_x10_json_names(spark, sf):
     return demo._table(spark, sf, "events").select("event_id", parsing.route_text(parsing.json_names(text)).alias("route"))
 
 
+def _found(rows: DataFrame) -> DataFrame:
+    c = F.col("conflict")
+    return rows.select("flight_id_1", "flight_id_2", *r6(horizontal_nm=c["horizontal_nm"], vertical_nm=c["vertical_nm"], entry_h=c["entry_h"], cpa_h=c["cpa_h"]))
+
+
 @query()
 def c3_detect(spark, sf):
-    """The whole detection: candidate pairs of one moment, half of the flights with plans."""
+    """The whole detection in busy traffic, at the flights' own times: half of the flights have plans, so pairs have two, one or none."""
     from .detection import detect
 
-    rows = demo.latest(spark, sf)
-    pairs = blocking.candidate_pairs(rows, 0.25, SKEW_S, "sphere")
-    routed = rows.withColumn("route", F.when(F.col("user_id") % 2 == 0, F.lit("filed"))).withColumn("ts", F.lit(TICK).cast("timestamp"))
-    found = detect(pairs, routed, demo.plans(spark, sf).drop("user_id"))
-    c = F.col("conflict")
-    return found.select("flight_id_1", "flight_id_2", *r6(horizontal_nm=c["horizontal_nm"], vertical_nm=c["vertical_nm"], entry_h=c["entry_h"], cpa_h=c["cpa_h"]))
+    rows = demo.traffic(spark, sf).withColumn("route", F.when(F.col("user_id") % 2 == 0, F.lit("filed")))
+    pairs = blocking.candidate_pairs(rows, 0.25, mode="sphere")
+    return _found(detect(pairs, rows, demo.traffic_plans(spark, sf)))
+
+
+def _aligned(i: int) -> str:
+    h, late = f"((epoch_us(greatest(ts_1, ts_2)) - epoch_us(ts_{i})) / 3.6e9)", f"abs(epoch_us(ts_1) - epoch_us(ts_2)) > 10000000 AND ts_{i} < greatest(ts_1, ts_2)"
+    return f"""CASE WHEN {late} THEN lat_{i} + degrees(knots_{i} * cos(radians(track_{i})) * {h} * 1.852e0 / 6371e0) ELSE lat_{i} END AS lat_{i},
+  CASE WHEN {late} THEN lon_{i} + degrees(knots_{i} * sin(radians(track_{i})) * {h} * 1.852e0 / (6371e0 * cos(radians(lat_{i})))) ELSE lon_{i} END AS lon_{i},
+  CASE WHEN {late} THEN CAST(round_even(level_{i} + fpm_{i} * 60 / (1852e0 / 0.3048e0) * {h} * 1.852e0 / 0.03048e0, 0) AS INT) ELSE level_{i} END AS level_{i}"""
+
+
+_TRAFFIC_PAIRS = f"""p0 AS (SELECT a.flight_id AS flight_id_1, b.flight_id AS flight_id_2, a.lat AS lat_1, a.lon AS lon_1, a.fl AS level_1, a.gs AS knots_1, a.trk AS track_1, a.vs AS fpm_1, a.ts AS ts_1,
+  b.lat AS lat_2, b.lon AS lon_2, b.fl AS level_2, b.gs AS knots_2, b.trk AS track_2, b.vs AS fpm_2, b.ts AS ts_2 FROM traffic a JOIN traffic b ON a.flight_id < b.flight_id AND {_NM} / (a.gs + b.gs) <= 0.25),
+pr AS (SELECT * REPLACE ({_aligned(1)}, {_aligned(2)}) FROM p0)"""
+
+
+@query("""SELECT flight_id_1, flight_id_2, round(sqrt(pow(rx + vx * t, 2) + pow(ry + vy * t, 2)), 6) AS horizontal_nm, round(rz + vz * t, 6) + 0 AS vertical_nm, round(t0, 6) + 0 AS entry_h, round(t, 6) + 0 AS cpa_h FROM rel
+  WHERE hit AND vv >= 1e-10 AND t >= 0 AND t0 <= 0.25 AND sqrt(pow(rx + vx * t, 2) + pow(ry + vy * t, 2)) < 5 AND abs(rz + vz * t) < 950 * 0.3048e0 / 1852e0 AND isfinite(t0) AND isfinite(t1)""", P, L, demo.TRAFFIC_SQL, _TRAFFIC_PAIRS, _REL)
+def c3_straight_conflicts(spark, sf):
+    """The detection in busy traffic without plans: flights are moved to a common time and fly straight on."""
+    from .detection import detect
+
+    rows = demo.traffic(spark, sf).withColumn("route", F.lit(None).cast("string"))
+    return _found(detect(blocking.candidate_pairs(rows, 0.25, mode="sphere"), rows, demo.traffic_plans(spark, sf)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
