@@ -8,8 +8,35 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, stage
 from .components import connected_components
 
-_LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*\burl\s*=\s*([^"'\s>]+)"""
+#: Tags whose attributes name another address: canonical links, refreshes and the base that relative addresses start from.
+_TAGS = r"(?is)<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or bare; empty where it isn't there."""
+    found = lambda i: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))""", i)
+    return F.concat(found(1), found(2), found(3))
+
+
+def links_of(html: Column) -> Column:
+    """struct(base, targets) of a page: the href of its first <base> (null if none), the href of each <link> with ``canonical`` among the words of its rel, and the address of each refresh."""
+    tags = F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0))
+    kind = lambda t, name: t.rlike(rf"(?i)^<{name}\b")
+    words = lambda t: F.split(F.lower(_attribute(t, "rel")), r"[\x20\x09-\x0D]+")
+    canonicals = F.transform(F.filter(tags, lambda t: kind(t, "link") & F.array_contains(words(t), "canonical")), lambda t: _attribute(t, "href"))
+    refreshes = F.transform(F.filter(tags, lambda t: kind(t, "meta") & (F.lower(_attribute(t, "http-equiv")) == "refresh")), lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"']*)""", 1))
+    bases = F.filter(F.transform(F.filter(tags, lambda t: kind(t, "base")), lambda t: _attribute(t, "href")), lambda h: h != "")
+    return F.struct(F.get(bases, F.lit(0)).alias("base"), F.concat(canonicals, refreshes).alias("targets"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root with its . and .. segments resolved; what .. would take above the root stays at the root."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))  # behind the first slash
+    up = lambda s: F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda s, x: F.when(x == "..", up(s)).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.when(F.size(kept) > 0, "/").otherwise("")).otherwise("")  # a last . or .. names a folder
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), whole).otherwise(path)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -49,20 +76,25 @@ def _verdict(rule: Column, rules: dict[str, str]) -> Column:
 
 
 def resolve(url: Column, link: Column) -> Column:
-    """The absolute address of a link on the page of a url, as browsers see it; null for other schemes than http(s) and empty links."""
+    """The absolute address of a link on the page of a url, as browsers see it; null for other schemes than http(s) and empty links.
+
+    The url of a link without a scheme is completed with that of the page, or its folder, and . and .. segments are resolved. Ports and user information stay part of the host.
+    """
     link = F.regexp_replace(F.trim(link), "(?i)&amp;|&#38;|&#x26;", "&")
     scheme, host = F.regexp_extract(url, r"^(.*?)://", 1), F.regexp_extract(url, r"(?s)://([^/?#]*)", 1)
     root, path = F.concat(scheme, F.lit("://"), host), F.regexp_extract(url, r"(?s)://[^/?#]*([^?#]*)", 1)
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"[^/]*$", "")).otherwise("/")
-    return (
+    found = (
         F.when(link == "", F.lit(None).cast("string"))
         .when(link.rlike(r"^(?i)https?://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
         .when(link.rlike(r"^[?#]"), F.concat(root, path, link))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .otherwise(F.concat(root, folder, F.regexp_replace(link, r"^(\./)+", "")))
+        .otherwise(F.concat(root, folder, link))
     )
+    place = lambda i: F.regexp_extract(found, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", i)
+    return F.when(found.rlike(r"/\.\.?([/?#]|$)"), F.concat(place(1), without_dots(place(2)), place(3))).otherwise(found)
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None = None) -> DataFrame:
@@ -72,16 +104,17 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | N
     whatever its aliases are. Any other page is blocked if a page or a link's target that a rule blocks is in its component, which redirects
     (source, target urls), canonical links, meta refreshes and variants of one address span; else it is allowed.
     A null url, or one without ://, has an empty host and path, no aliases, and is allowed. Repeated rows are judged alike.
-    Links are resolved against the page's url: whole, without a scheme, from the root, or from the page's folder.
+    Links are resolved against the page's base, itself resolved against its url, or else against its url: whole, without a scheme, from the root, or from the folder.
+    A page may have several; a rel may hold further words beside ``canonical``.
     """
     host, path = host_and_path(F.col("url"))
     address = F.when(F.col("url").contains("://"), canonical(F.col("url")))
     judged = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), address.alias("node"))
     judged = judged.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     judged = judged.withColumn("own", _verdict(F.col("rule"), rules))
-    targets = F.array(*[F.regexp_extract("html", x, 1) for x in (_LINK, _REFRESH)])
     marked = F.col("html").rlike(r"(?i)canonical|http-equiv")  # most pages have neither
-    links = judged.filter(F.col("node").isNotNull() & marked).select("node", "url", F.explode(targets).alias("to"))
+    links = judged.filter(F.col("node").isNotNull() & marked).select("node", "url", links_of(F.col("html")).alias("of"))
+    links = links.select("node", F.coalesce(resolve(F.col("url"), F.col("of.base")), F.col("url")).alias("url"), F.explode("of.targets").alias("to"))
     links = links.withColumn("to", resolve(F.col("url"), F.col("to"))).filter("to is not null").select(F.col("node").alias("a"), "to")
     if redirects is not None:
         links = links.union(redirects.select(canonical(F.col("source")).alias("a"), F.col("target").alias("to")))

@@ -348,3 +348,38 @@ def test_urls(spark):
     moved = spark.createDataFrame([("http://one.io/", "http://two.io/"), ("http://two.io/", "http://bad.net/")], "source string, target string")
     pages = spark.createDataFrame([(1, "http://one.io", ""), (2, "http://bad.net/", "")], "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in url_blocks.judge_urls(pages, RULES, moved).collect()} == {1: "block", 2: "block"}
+
+
+@pytest.mark.parametrize("html,base,targets", [
+    ('<link rel="alternate canonical" href="x">', None, ["x"]),
+    ("<LINK href='../y' REL = canonical >", None, ["../y"]),
+    ("<link rel=canonicals href=z><link data-rel='canonical' href=no>", None, []),
+    ("<base target=_top><base href='/q/'><base href='/r/'><link rel='canonical' href='a>b'>", "/q/", ["a>b"]),
+    ('<meta http-equiv="Refresh" content="0; url=\'/n\'"><meta http-equiv=refresh content=5;URL=m>', None, ["/n", "m"]),
+    ("", None, []),
+])
+def test_links_of_pages(spark, html, base, targets):
+    row = spark.createDataFrame([(html,)], "h string").select(url_blocks.links_of(F.col("h")).alias("l")).first().l
+    assert (row.base, row.targets) == (base, targets)
+
+
+@pytest.mark.parametrize("page,link,want", [
+    ("http://one.io/a/b/c", "../x", "http://one.io/a/x"), ("http://one.io/a/b/c", "../../../x", "http://one.io/x"), ("http://one.io/a/b/c", "./x/./y/..", "http://one.io/a/b/x/"),
+    ("http://one.io", "x", "http://one.io/x"), ("http://one.io/a/b/", "..", "http://one.io/a/"), ("http://one.io/a/b/", "../..", "http://one.io/"),
+    ("http://u:p@one.io:8080/a/b", "/c/../d?q=../z#../y", "http://u:p@one.io:8080/d?q=../z#../y"), ("https://one.io/a", "//two.io/b/../c", "https://two.io/c"),
+    ("http://one.io/a", "mailto:x", None), ("http://one.io/a?x=/../y", "z", "http://one.io/z"), ("http://one.io/a/.hidden/b", "c..d", "http://one.io/a/.hidden/c..d"),
+])
+def test_addresses_are_resolved(spark, page, link, want):
+    assert spark.createDataFrame([(page, link)], "p string, l string").select(url_blocks.resolve(F.col("p"), F.col("l")).alias("r")).first().r == want
+
+
+def test_blocks_follow_every_kind_of_link(spark):
+    """Pages whose canonical address lies in a blocked folder, by each way of naming it."""
+    rules = {"one.io/a/bad/": "block", "one.io/ok/": "allow"}
+    pages = [
+        (1, "http://one.io/a/b/c", "<link rel='alternate canonical' href='../bad/x'>"), (2, "http://one.io/z", "<base href='http://one.io/a/b/'><link rel=canonical href='../bad/y'>"),
+        (3, "http://one.io/y", "<link rel='canonical' href='/a/q/../bad/z'><link rel=stylesheet href='/s'>"), (4, "http://one.io/w", "<meta http-equiv=refresh content='0; url=/a/./bad/w'>"),
+        (5, "http://one.io/v", "<link rel=canonical href='/a/bad/../v2'>"), (6, "http://one.io/ok/1", "<link rel=canonical href='/a/bad/1'>"), (7, "http://one.io/s", None),
+    ]
+    got = {r.page_id: r.verdict for r in url_blocks.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
