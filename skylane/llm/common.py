@@ -103,7 +103,10 @@ class ChunkEncoder:
     _ODD_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] | [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A | \z"
 
     def __init__(self, path: str, spaced: bool, remembered: int = 300_000):
-        """remembered: distinct chunks in a generation, of some 200 bytes each; two generations are kept, so that frequent chunks stay."""
+        """remembered: distinct chunks in a generation, of some 200 bytes each; two generations are kept, so that frequent chunks stay.
+
+        Chunks that follow a space and those at the start of a text, or in one that is cut otherwise, are remembered apart: the same characters may have other ids there.
+        """
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,13 +119,15 @@ class ChunkEncoder:
         self.lower = not spaced and '"Lowercase"' in self.tokenizer.to_str()[:100_000].split('"vocab"')[0]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str], joined: bool) -> None:
-        """Remembers the ids of chunks; with joined, of such as can stand one after another in a text."""
+    def _learn(self, new: list[str], joined: bool, known: dict[str, bytes]) -> None:
+        """Remembers the ids of chunks in ``known``; with joined, of such as can stand one after another in a text, where spaced chunks have a space before them."""
         import numpy as np
 
         for at in range(0, len(new), 256):
-            part, starts = new[at : at + 256], [None]
+            chunks, starts = new[at : at + 256], [None]
+            part = [" " + x for x in chunks] if joined and self.spaced else chunks
             if joined and self.spaced:  # one text of all of them, parted where as many bytes have passed
                 got = self.tokenizer.encode("".join(part), add_special_tokens=False)
                 passed = np.concatenate(([0], np.cumsum(self.bytes[got.ids])))
@@ -136,21 +141,21 @@ class ChunkEncoder:
                 got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
                 starts = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part)), side="left").tolist()
             data = np.array(got.ids, dtype="<u4").tobytes()
-            for chunk, start, end in zip(part, starts, [*starts[1:], len(got.ids)], strict=True):
-                self.known[chunk] = data[4 * start : 4 * end]
+            for chunk, start, end in zip(chunks, starts, [*starts[1:], len(got.ids)], strict=True):
+                known[chunk] = data[4 * start : 4 * end]
 
     def _ids(self, chunks: list[str], joined: bool = False) -> list[bytes]:
-        """Ids of each chunk; those not met before are encoded together."""
-        found = list(map(self.known.get, chunks))
-        if None in found:
-            new = []
-            for x in {x for x, ids in zip(chunks, found, strict=True) if ids is None}:
-                if x in self.older:
-                    self.known[x] = self.older[x]
-                else:
-                    new.append(x)
-            self._learn(new, joined)
-            found = list(map(self.known.__getitem__, chunks))
+        """Ids of each chunk; those not met before are encoded together. With joined, chunks are distinct and, where spaced, follow a space."""
+        known, older = (self.known, self.older) if joined else (self.first, {})
+        found = list(map(known.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            lost = [chunks[i] for i in missing]
+            seen = list(map(older.get, lost))
+            known.update((x, ids) for x, ids in zip(lost, seen, strict=True) if ids is not None)
+            self._learn(list(dict.fromkeys(x for x, ids in zip(lost, seen, strict=True) if ids is None)), joined, known)
+            for i, x in zip(missing, lost, strict=True):
+                found[i] = known[x]
         return found
 
     def encode(self, texts: pa.Array) -> tuple:
@@ -160,6 +165,8 @@ class ChunkEncoder:
 
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
+        if len(self.first) > self.remembered // 8:
+            self.first = {}
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy of its own: ascii_lower reads slices wrongly
         whole = np.zeros(len(texts), dtype=bool)
@@ -178,7 +185,7 @@ class ChunkEncoder:
         offsets = np.asarray(words.offsets)
         distinct = words.values.dictionary_encode()
         index, chunks = np.asarray(distinct.indices).astype(np.int64), distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
-        parts = self._ids([" " * self.spaced + x for x in chunks if x], joined=True)
+        parts = self._ids([x for x in chunks if x], joined=True)
         if "" in chunks:
             parts.insert(chunks.index(""), b"")
         if self.spaced:  # a text's first chunk is the only one without a leading space
