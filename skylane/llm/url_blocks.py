@@ -75,16 +75,16 @@ def _verdict(rule: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def resolve(url: Column, link: Column) -> Column:
-    """The absolute address of a link on the page of a url, as browsers see it; null for other schemes than http(s) and empty links.
+def joined(url: Column, link: Column) -> Column:
+    """The absolute address of a link on the page of a url, . and .. segments left as they are; null for other schemes than http(s) and empty links.
 
-    The url of a link without a scheme is completed with that of the page, or its folder, and . and .. segments are resolved. Ports and user information stay part of the host.
+    A link without a scheme is completed with the scheme, host or folder of the page's url. Ports and user information stay part of the host.
     """
     link = F.regexp_replace(F.trim(link), "(?i)&amp;|&#38;|&#x26;", "&")
     scheme, host = F.regexp_extract(url, r"^(.*?)://", 1), F.regexp_extract(url, r"(?s)://([^/?#]*)", 1)
     root, path = F.concat(scheme, F.lit("://"), host), F.regexp_extract(url, r"(?s)://[^/?#]*([^?#]*)", 1)
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"[^/]*$", "")).otherwise("/")
-    found = (
+    return (
         F.when(link == "", F.lit(None).cast("string"))
         .when(link.rlike(r"^(?i)https?://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
@@ -93,8 +93,22 @@ def resolve(url: Column, link: Column) -> Column:
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .otherwise(F.concat(root, folder, link))
     )
-    place = lambda i: F.regexp_extract(found, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", i)
-    return F.when(found.rlike(r"/\.\.?([/?#]|$)"), F.concat(place(1), without_dots(place(2)), place(3))).otherwise(found)
+
+
+def tidied(address: Column) -> Column:
+    """An absolute address with the . and .. segments of its path resolved."""
+    part = lambda i: F.regexp_extract(address, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", i)
+    return F.when(address.rlike(r"/\.\.?([/?#]|$)"), F.concat(part(1), without_dots(part(2)), part(3))).otherwise(address)
+
+
+def resolve(url: Column, link: Column) -> Column:
+    """The absolute address of a link on the page of a url, as browsers see it; null for other schemes than http(s) and empty links."""
+    return tidied(joined(url, link))
+
+
+def with_address(rows: DataFrame, name: str, url: str, link: str) -> DataFrame:
+    """rows with ``name``, the link resolved against the url: a projection for each step, as one expression of all of them would repeat each many times."""
+    return rows.withColumn("_joined", joined(F.col(url), F.col(link))).withColumn(name, tidied(F.col("_joined"))).drop("_joined")
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | None = None) -> DataFrame:
@@ -114,8 +128,10 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], redirects: DataFrame | N
     judged = judged.withColumn("own", _verdict(F.col("rule"), rules))
     marked = F.col("html").rlike(r"(?i)canonical|http-equiv")  # most pages have neither
     links = judged.filter(F.col("node").isNotNull() & marked).select("node", "url", links_of(F.col("html")).alias("of"))
-    links = links.select("node", F.coalesce(resolve(F.col("url"), F.col("of.base")), F.col("url")).alias("url"), F.explode("of.targets").alias("to"))
-    links = links.withColumn("to", resolve(F.col("url"), F.col("to"))).filter("to is not null").select(F.col("node").alias("a"), "to")
+    links = stage(links.select("node", "url", "of.base", F.explode("of.targets").alias("link")), "url-tags")
+    # Written before nulls are left out: the optimizer would move that filter below, with all expressions in it.
+    links = with_address(links, "from", "url", "base").withColumn("page", F.coalesce("from", "url"))
+    links = stage(with_address(links.select("node", "page", "link"), "to", "page", "link").select("node", "to"), "url-targets").filter("to is not null").select(F.col("node").alias("a"), "to")
     if redirects is not None:
         links = links.union(redirects.select(canonical(F.col("source")).alias("a"), F.col("target").alias("to")))
     target = _verdict(matching_rule(*host_and_path(F.col("to")), rules), rules) == "block"
