@@ -40,9 +40,11 @@ def _measured(asked: DataFrame, points: DataFrame, on: Sequence[str], row: Seque
     salted = asked.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int"))
     copies = points.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     met = salted.join(copies, [*on, "_salt"], "left")
-    metres = far(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    found = F.min(F.when(F.col("p_lat").isNotNull(), F.struct(metres.alias("m"), "p")))
-    return met.groupBy(*row).agg(found.alias("best"), (F.max("measured") + F.count("p_lat")).alias("measured"))
+    # No condition around the distance: the terms it repeats are computed once only where they always are.
+    metres = F.coalesce(far(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")), F.lit(float("inf")))
+    best = F.min(F.struct(metres.alias("m"), "p"))
+    found = met.groupBy(*row).agg(best.alias("best"), (F.max("measured") + F.count("p_lat")).alias("measured"))
+    return found.withColumn("best", F.when(F.col("best.m") < float("inf"), F.col("best")))
 
 
 def nearest_points(asked: DataFrame, points: DataFrame, key: Sequence[str], name: str, mode: str = "spheroid") -> DataFrame:
@@ -50,10 +52,11 @@ def nearest_points(asked: DataFrame, points: DataFrame, key: Sequence[str], name
 
     points: name, p_lat, p_lon and p, a struct by whose order ties go. Rows and points without a position take no part. Points stand in cells that are
     widened from round to round, in their own cell and the eight around it, so that an asked row joins one cell. A row is settled once its best
-    point is nearer than anything outside can be; what no cell settles is measured against all points of its name. Every round writes a table.
+    point is nearer than anything outside can be; what no cell settles is measured against all places of its name. Every round writes a table.
     """
     row = [*key, name, "lat", "lon"]
     known = points.filter(known_position(F.col("p_lat"), F.col("p_lon")))
+    known = staged(known.groupBy(name, "p_lat", "p_lon").agg(F.min("p").alias("p")), "points")  # of points in one place only the first can be the nearest
     left = asked.select(*row).filter(known_position(F.col("lat"), F.col("lon"))).join(known.select(name).distinct(), name, "left_semi").select(*row, F.lit(0).cast("long").alias("measured"))
     done = []
     for size in CELLS:
