@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skylane.functions import geo
 from skylane.operators import blocking, events, navpoints, routes, snapshots
-from skylane.sources import navdata, sinks
+from skylane.sources import navdata, positions, sinks
 
 from . import demo
 from .more_queries import _shared
@@ -158,3 +158,18 @@ def c9_waypoint_names(spark, sf):
     route = F.element_at(F.array(*[F.lit(r) for r, _ in _ROUTES]), (e % len(_ROUTES) + 1).cast("int"))
     rows = demo._table(spark, sf, "events").select(F.concat(F.lit("F"), e.cast("string")).alias("flight_id"), route.alias("route"), F.lit(50.0).alias("lat"), F.lit(14.0).alias("lon"), F.lit(300).alias("ground_speed_kt"), F.lit(100).alias("flight_level"))
     return routes.waypoint_names(routes.parse_routes(rows), edges).select("flight_id", F.array_join("names", ",").alias("names"))
+
+
+@query("""SELECT CAST(count(*) FILTER (has AND event_id % 11 <> 0) AS BIGINT) AS imported, CAST(count(*) FILTER (NOT has) AS BIGINT) AS skipped, CAST(count(*) FILTER (has AND event_id % 11 = 0) AS BIGINT) AS failed,
+  CAST(count(*) FILTER (has AND event_id % 11 <> 0 AND event_id % 13 = 0) AS BIGINT) AS unread FROM (SELECT event_id, event_id % 7 <> 0 AS has FROM events)""")
+def a7_import_counts(spark, sf):
+    """Counters of an import of all samples: some without a flight, some with a time or a level that can't be read."""
+    e, path = F.col("event_id"), _shared(spark)
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = demo.positions(spark, sf).select(
+        time.alias("sample_time"), F.when(e % 11 == 0, "noon").otherwise(time).alias("time_over"), F.when(e % 7 != 0, F.col("flight_id")).alias("flight_id"), F.lit("").alias("aircraft_type"), F.lit("").alias("origin"),
+        F.lit("").alias("destination"), "lat", "lon", F.when(e % 13 == 0, "high").otherwise(F.col("flight_level").cast("string")).alias("flight_level"), F.lit("A DCT B").alias("route_string"),
+    )
+    rows.write.csv(path, header=True, emptyValue="", nullValue="")
+    counts = positions.import_to(spark, _shared(spark), path)
+    return spark.createDataFrame([(counts.imported, counts.skipped, counts.failed, counts.unread)], "imported long, skipped long, failed long, unread long")

@@ -31,6 +31,23 @@ def test_csv(spark, folder):
         positions.read_positions(spark, str(folder / "bad.csv"))
 
 
+def test_counts_of_an_import(spark, tmp_path):
+    """Every kind of bad row, over two files; the counters equal those of the rows themselves."""
+    time = "2026-03-21T16:04:03Z"
+    lines = [f"{a},{b},{f},,,,{lat},{lon},{fl}," for a in (time, "", "soon") for b in (time, " ", "31.12.") for f in ("X", "") for lat in ("1.5", "", "north") for lon in ("2", "-") for fl in ("68", "F90")]
+    for i in range(2):
+        (tmp_path / f"{i}.csv").write_text("\n".join([HEADER, *lines[i::2]]) + "\n")
+    got = positions.import_to(spark, str(tmp_path / "out"), str(tmp_path))
+    fields = [x.split(",") for x in lines]
+    full = [x for x in fields if x[2] and x[0] and x[1].strip()]
+    good = [x for x in full if x[0] == x[1] == time]
+    bad = [x for x in good if x[6] == "north" or x[7] == "-" or x[8] == "F90"]
+    assert (got.imported, got.skipped, got.failed, got.unread) == (len(good), len(fields) - len(full), len(full) - len(good), len(bad))
+    rows, left_out = positions.import_positions(spark, str(tmp_path))
+    assert left_out == got.skipped + got.failed
+    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(rows).count() == 0 and rows.count() == got.imported
+
+
 def test_catalog(folder):
     assert [x[0] for x in positions.import_options(str(folder))] == ["a.csv", "bad.csv", "set"]
     assert positions.resolve(str(folder), "a").endswith("a.csv") and positions.resolve(str(folder), "set").endswith("set")
