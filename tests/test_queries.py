@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from skylane.plans import more_queries  # noqa: F401  registers more
+from skylane.plans import feed_queries, more_queries  # noqa: F401  register more
 from skylane.plans.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
