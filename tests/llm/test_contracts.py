@@ -192,3 +192,23 @@ def test_pipeline(spark, docs):
     for r in rows:
         sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
     assert max(sequences.values()) <= 4096
+
+
+def test_odd_words_are_encoded_as_the_library_does():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from skylane.llm.common import ChunkEncoder
+    from skylane.llm.entries import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(11)
+    bits = ["das", "Dem", "it's", "dogs'", "été", "é", "x²", "9", "_", ".", ",", "...", "!?", '"', "'", "(", ")", "\n", "\n\n", "\t", "\r\n", "\u0085", " ", "　", "\x1c", "中文", "。", "🙂", ""]
+    texts = [" ".join("".join(r.choices(bits, k=r.randrange(1, 6))) for _ in range(r.randrange(1, 12))) for _ in range(3000)]
+    ids, lengths = ChunkEncoder(path, spaced=True).encode(pa.array(texts))
+    library, at = Tokenizer.from_file(path), 0
+    for text, n in zip(texts, lengths.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == library.encode(text, add_special_tokens=False).ids, text
+        at += n
