@@ -64,12 +64,27 @@ def airway_names(rows: DataFrame) -> DataFrame:
     return rows.select("line", text_of(x, "Route", "identifier").alias("uuid"), F.coalesce(built, text_of(x, "name")).alias("airway_id")).filter("uuid is not null and airway_id is not null")
 
 
+#: Between the parts of a text: no XML document can have it, not even as a reference.
+_BETWEEN = "\x01"
+
+
+def texts_at(xml: Column, *paths: str) -> Column:
+    """The string values of XPath expressions, in an array; the document is parsed once for all of them."""
+    between = f", '{_BETWEEN}', "
+    return F.split(F.xpath_string(xml, F.lit(f"concat({between.join(paths)}, '')")), _BETWEEN)
+
+
 def route_segments(rows: DataFrame) -> DataFrame:
     """route_uuid, start_uuid, end_uuid; a designated point goes before a navaid, and is final where it is named."""
-    x = F.col("xml")
-    href = lambda *path: F.nullif(F.regexp_replace(F.xpath_string(x, F.lit(f"string(({''.join(f'//{p}' for p in path)})[1]/@href)")), "^urn:uuid:", ""), F.lit(""))
-    end = lambda side: F.when(F.xpath_boolean(x, F.lit(f"boolean(//{side}//pointChoice_fixDesignatedPoint)")), href(side, "pointChoice_fixDesignatedPoint")).otherwise(href(side, "pointChoice_navaidSystem"))
-    return rows.select(href("routeFormed").alias("route_uuid"), end("start").alias("start_uuid"), end("end").alias("end_uuid")).filter("route_uuid is not null and start_uuid is not null and end_uuid is not null")
+    fix, navaid = "pointChoice_fixDesignatedPoint", "pointChoice_navaidSystem"
+    href = lambda *path: f"string(({''.join(f'//{p}' for p in path)})[1]/@href)"
+    end = lambda side: (f"boolean(//{side}//{fix})", href(side, fix), href(side, navaid))
+    # A filter behind explode stays there: it would be given the expression, and so another parse, for each of its terms.
+    found = rows.select(F.explode(F.array(texts_at(F.col("xml"), href("routeFormed"), *end("start"), *end("end")))).alias("t"))
+    uuid = lambda x: F.nullif(F.regexp_replace(x, "^urn:uuid:", ""), F.lit(""))
+    part = lambda i: F.get("t", F.lit(i))
+    side = lambda i: uuid(F.when(part(i) == "true", part(i + 1)).otherwise(part(i + 2)))
+    return found.select(uuid(part(0)).alias("route_uuid"), side(1).alias("start_uuid"), side(4).alias("end_uuid")).filter("route_uuid is not null and start_uuid is not null and end_uuid is not null")
 
 
 def flights_of_replies(replies: DataFrame, xml: str = "xml", route_field: str = "icao") -> DataFrame:
