@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skylane.functions.geo import haversine_nm, heat_intensity
 
+from .staging import staged
+
 SAME_NM = 15.0
 
 
@@ -66,8 +68,11 @@ def reconcile(predicted: DataFrame, events: DataFrame, checked: DataFrame, now:
 
 
 def _numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Adds _n, 1 and up in order, without bringing all rows together: ranges, their sizes, and numbers within."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Adds _n, 1 and up in order, without bringing all rows together: ranges, their sizes, and numbers within.
+
+    Ranges come from a sample that every run draws anew, so rows are written with theirs before they are counted.
+    """
+    ranged = staged(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     within = ranged.withColumn("_w", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = ranged.groupBy("_p").count()  # a row for each range
     before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
