@@ -90,3 +90,52 @@ def test_pairs_are_neither_written_nor_joined_again(spark, name, monkeypatch):
     assert dict(written)["latest"] == flights and {n for n, _ in written} <= {"latest", "clipped"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Exchange") == 2
+
+
+def _random_traffic(spark):
+    """Flights in neighbouring cells and on both sides of the skew, plans of no, one and several waypoints."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, at = random.Random(23), datetime(2024, 1, 1)
+    rows, plans = [], []
+    for i in range(220):
+        lat, lon, level = rng.uniform(49, 50), rng.uniform(14, 15.5), rng.choice((300, 305, 310))
+        seconds = rng.choice((0, 9, 10, 11, 40, 120, 299, 300, 301))
+        rows.append((f"F{i:03d}", lat, lon, level, rng.choice((280, 350, 420, 480)), rng.uniform(0, 360), rng.choice((0, 0, 50, 900, -1500)), at + timedelta(seconds=seconds), rng.choice((None, "filed", "filed"))))
+        for k in range(rng.choice((0, 1, 2, 4, 6)) if rows[-1][-1] else 0):
+            plans.append((f"F{i:03d}", k, f"P{k}", lat + rng.uniform(-0.6, 0.6), lon + rng.uniform(-0.9, 0.9), 300, level + (rng.choice((10, -20)) if i % 4 == 0 else 0)))
+    state = "flight_id string, lat double, lon double, flight_level int, ground_speed_kt int, track_heading double, vertical_rate_fpm int, ts timestamp, route string"
+    return spark.createDataFrame(rows, state), spark.createDataFrame(plans, "flight_id string, idx int, ident string, lat double, lon double, tas int, level int")
+
+
+def test_detection_writes_no_candidates(spark, monkeypatch):
+    """The conflicts of the detection over written candidate pairs, though no table has as many rows as there are candidates."""
+    from skylane.operators import blocking, staging
+    from skylane.plans import detection
+
+    states, plans = _random_traffic(spark)
+    pairs = staging.staged(blocking.candidate_pairs(states, 0.25, mode="sphere").select("flight_id_1", "flight_id_2"))
+    want = sorted(map(str, detection.detect(pairs, states, plans).collect()))
+    written = []
+
+    def counted(df, name="stage"):
+        out = staging.staged(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(detection, "staged", counted)
+    got = sorted(map(str, detection.detect_among(states, plans, 0.25, mode="sphere").collect()))
+    assert got == want and len(want) > 100
+    assert max(n for name, n in written if name in ("near", "predicted")) < pairs.count() / 4
+    assert {n for n, _ in written} == {"flights", "late", "planned", "moved", "there", "states", "clipped", "paths", "near", "predicted"}
+
+
+def test_only_pairs_of_events_are_checked(spark):
+    from skylane.operators import blocking
+
+    states, _ = _random_traffic(spark)
+    whole = {tuple(r) for r in blocking.candidate_pairs(states, 0.25, mode="sphere").select("flight_id_1", "flight_id_2").collect()}
+    some = [(f"F{b:03d}", f"F{a:03d}") for a in range(40) for b in range(a + 1, 60)] + [("F001", "F001"), ("F001", "none"), (None, "F002")]
+    found = blocking.candidates_among(spark.createDataFrame(some, "flight_id_1 string, flight_id_2 string"), states, 0.25, mode="sphere")
+    assert {tuple(r) for r in found.collect()} == whole & {tuple(sorted(p)) for p in some if all(p)}
