@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skylane.operators import blocking, events
 from skylane.operators.staging import staged
-from skylane.plans.detection import detect
+from skylane.plans.detection import detect_among
 
 EVENTS = "id long, flight_id_1 string, flight_id_2 string, detected_at timestamp, last_checked timestamp, middle_point_lat double, middle_point_lon double, horizontal_distance double, vertical_distance double, remaining_time double, active boolean"
 
@@ -79,7 +79,8 @@ def detection_step(table: VersionedTable, plans: DataFrame, threshold_h: float =
     """What a batch of positions does to the event table, for foreachBatch: candidate pairs of its latest positions, detection, reconciliation.
 
     The time of the check is that of the batch's newest position, so a batch that comes again writes the same; the pairs checked are the candidates, and the active
-    events of those of them in which no conflict is found are archived. A batch without positions changes nothing. Pairs stay in DataFrames throughout.
+    events of those of them in which no conflict is found are archived. A batch without positions changes nothing. Candidates aren't written: detection meets them itself, and of
+    those without a conflict only the pairs of active events matter.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -88,9 +89,10 @@ def detection_step(table: VersionedTable, plans: DataFrame, threshold_h: float =
             return
         rows = staged(blocking.latest_per_flight(blocking.can_conflict(batch), order), "latest")
         newest = rows.agg(F.max("ts")).first()[0]
-        pairs = staged(blocking.candidate_pairs(rows, threshold_h, mode=mode).select("flight_id_1", "flight_id_2"), "candidates")
-        predicted = staged(events.events_from(detect(pairs, rows, plans), F.lit(newest)), "predicted")
-        table.apply(number, lambda now: events.reconcile(predicted, now, pairs, F.lit(newest)) if newest is not None else now)
+        predicted = staged(events.events_from(detect_among(rows, plans, threshold_h, mode=mode), F.lit(newest)), "predicted")
+        # Only pairs with an event can have one to archive.
+        checked = lambda now: blocking.candidates_among(now.filter("active"), rows, threshold_h, mode=mode)
+        table.apply(number, lambda now: events.reconcile(predicted, now, checked(now), F.lit(newest)) if newest is not None else now)
 
     return step
 
