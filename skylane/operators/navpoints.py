@@ -110,10 +110,12 @@ def nearest_of_either(asked: DataFrame, fixes: DataFrame, navs: DataFrame, key:
 
 
 def _found(asked: DataFrame, fixes: DataFrame, navs: DataFrame, key: Sequence[str], name: str, mode: str) -> DataFrame:
-    """asked with fix and nav: structs of the nearest of each kind, or null."""
-    for kind, points in (("fix", fixes), ("nav", navs)):
-        near = nearest_by_name(asked.filter(F.col(name).isNotNull()), points, key, name, mode).filter("point_lat is not null")
+    """asked with fix and nav: structs of the nearest fix, or null, and of the nearest navaid where there is no fix."""
+    known = F.col(name).isNotNull()
+    for kind, points, open_ in (("fix", fixes, known), ("nav", navs, known & F.col("fix").isNull())):
+        near = nearest_by_name(asked.filter(open_), points, key, name, mode).filter("point_lat is not null")
         asked = asked.join(near.select(*key, F.struct(F.col("point_lat").alias("lat"), F.col("point_lon").alias("lon")).alias(kind)), list(key), "left")
+        asked = staged(asked, kind) if kind == "fix" else asked  # read for its open rows and for all
     return asked
 
 

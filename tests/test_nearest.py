@@ -72,3 +72,18 @@ def test_empty_tables(spark):
     points, asked = (spark.createDataFrame(rows[:5], schema) for rows, schema in zip(world(6), (POINT, ASKED), strict=True))
     assert navpoints.nearest_by_name(asked.limit(0), points, ["k"]).count() == 0
     assert navpoints.nearest_by_name(asked, points.limit(0), ["k"]).count() == 0
+
+
+def test_navaids_are_looked_up_only_without_a_fix(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "A", 50.0, 14.0), (2, "B", 50.0, 14.0), (3, "C", 50.0, 14.0)], ASKED)
+    fixes = spark.createDataFrame([(1, "A", 50.0, 14.1), (2, "C", None, None)], POINT)
+    navs = spark.createDataFrame([(1, "A", 50.0, 14.0), (2, "B", 50.0, 14.2), (3, "C", 50.0, 14.3)], POINT)
+    near, looked_up = navpoints.nearest_by_name, []
+
+    def counted(rows, *args):
+        looked_up.append(rows.count())
+        return near(rows, *args)
+
+    monkeypatch.setattr(navpoints, "nearest_by_name", counted)
+    found = {r.k: tuple(r.point) for r in navpoints.resolve_points(asked, fixes, navs, ["k"]).collect()}
+    assert found == {1: (50.0, 14.1), 2: (50.0, 14.2), 3: (50.0, 14.3)} and looked_up == [0, 0, 3, 2]
