@@ -139,3 +139,29 @@ def test_only_pairs_of_events_are_checked(spark):
     some = [(f"F{b:03d}", f"F{a:03d}") for a in range(40) for b in range(a + 1, 60)] + [("F001", "F001"), ("F001", "none"), (None, "F002")]
     found = blocking.candidates_among(spark.createDataFrame(some, "flight_id_1 string, flight_id_2 string"), states, 0.25, mode="sphere")
     assert {tuple(r) for r in found.collect()} == whole & {tuple(sorted(p)) for p in some if all(p)}
+
+
+@pytest.mark.parametrize("span, knots", [((40, 60, -180, 180), (200, 500)), ((-5, 5, 170, 190), (0, 500)), ((80, 90, -180, 180), (200, 500)), ((45, 46, 5, 6), (1, 9)), ((-60, 60, -180, 180), (9_000, 30_000))])
+def test_partner_lists_are_partners_of_the_pairs(spark, span, knots, monkeypatch):
+    """By single precision, by distance where that isn't sure, and for reaches beyond a quarter of the circle."""
+    import random
+    from datetime import datetime, timedelta
+
+    from skylane.operators import blocking
+
+    rng, at = random.Random(31), datetime(2024, 1, 1)
+    rows = [(f"F{i}", at + timedelta(seconds=rng.choice((0, 299, 300, 301, rng.randint(0, 1200)))), rng.uniform(*span[:2]), (rng.uniform(*span[2:]) + 180) % 360 - 180, rng.randint(*knots)) for i in range(300)]
+    rows += [("twin", at, *rows[0][2:4], knots[1]), ("twin2", at, *rows[0][2:4], knots[1]), ("nowhere", at, None, 5.0, 300), (None, at, *rows[0][2:])]
+    df = spark.createDataFrame(rows, "flight_id string, ts timestamp, lat double, lon double, ground_speed_kt int")
+    want = blocking.partners(blocking.candidate_pairs(df.dropna(), 0.25, 300, "sphere")).collect()
+    monkeypatch.setattr(blocking, "_close", None)
+    got = blocking.partner_lists(df, 0.25, 300, "|").collect()
+    assert sorted((r.flight_id_1, r.partners.split("|"), r.n_partners) for r in got) == sorted((r.flight_id_1, r.partners, r.n_partners) for r in want) and len(want) > 5
+
+
+def test_partners_are_found_without_pairs(spark, tmp_path, monkeypatch):
+    """a4_partners on repeated flights equals its SQL, without the join that makes pairs."""
+    from skylane.operators import blocking
+
+    monkeypatch.setattr(blocking, "meeting_pairs", None)
+    equals_sql(spark, later_events(spark, tmp_path, times=20, users=1_000), "a4_partners")
