@@ -38,8 +38,10 @@ def snapshots(samples: DataFrame, at: DataFrame, window_s: float = WINDOW_S, gra
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def stream_samples(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream_samples(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
+    """Samples of a folder's files, so many a batch, or all that are new."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def stream_latest(samples: DataFrame, late: str = "35 seconds") -> DataFrame:

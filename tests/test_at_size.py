@@ -165,3 +165,29 @@ def test_partners_are_found_without_pairs(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(blocking, "meeting_pairs", None)
     equals_sql(spark, later_events(spark, tmp_path, times=20, users=1_000), "a4_partners")
+
+
+def test_flights_share_state_and_slices_are_single_batches(spark, tmp_path):
+    """State has rows for buckets, not for flights; a slice of time written by several tasks is one batch, so that none of its rows is late."""
+    import random
+    from datetime import datetime, timedelta
+
+    from skylane.operators import snapshots
+    from skylane.streaming import activity
+
+    rng, at = random.Random(12), datetime(2024, 1, 1)
+    rows = [(f"F{rng.randrange(2_500)}", at + timedelta(seconds=rng.randrange(6_000)), rng.random(), 1.0) for _ in range(10_000)] + [("END", at + timedelta(seconds=9_000), 0.0, 0.0)]
+    samples, runs = spark.createDataFrame(rows, "flight_id string, sample_time timestamp, lat double, lon double").repartition(4), []
+
+    def read(stream):
+        changes = activity.stream_changes(stream, 600, "35 seconds")
+        runs.append(changes.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")))
+        return runs[-1]
+
+    more_queries._fed(spark, samples, "sample_time", read, 3)
+    progress = [p for q in runs for p in q.recentProgress]
+    assert [p["numInputRows"] > 0 for p in progress].count(True) == 3 and sum(p["numInputRows"] for p in progress) == len(rows)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 3 * activity.BUCKETS
+    found = spark.read.schema(activity.CHANGES).parquet(str(tmp_path / "out")).filter("kind = 'gone'").select("flight_id", "start", "last", "samples")
+    want = snapshots.activity_sessions(samples.filter("flight_id <> 'END'"), 600).select("flight_id", "start", "end", "samples")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5_000
