@@ -167,6 +167,50 @@ def test_partners_are_found_without_pairs(spark, tmp_path, monkeypatch):
     equals_sql(spark, later_events(spark, tmp_path, times=20, users=1_000), "a4_partners")
 
 
+@pytest.mark.parametrize("mode", ["sphere"])
+def test_flights_of_shared_states_are_paired(spark, mode):
+    """More flights of one state than a row holds, still ones, places on both sides of a cell's edge, rows without a place or number; the same pairs and distances as flight by flight."""
+    import random
+    from datetime import datetime, timedelta
+
+    from skylane.operators import blocking
+
+    rng, at = random.Random(5), datetime(2024, 1, 1)
+    states = [(at + timedelta(seconds=rng.choice((0, 299, 300, 301, 700))), rng.uniform(44, 47), rng.choice((179.9, -179.9)) + rng.uniform(-0.1, 0.1), rng.choice((0, 200, 480))) for _ in range(40)]
+    sizes = [2 * blocking.MEMBERS + 5, blocking.MEMBERS, blocking.MEMBERS + 1, *[rng.choice((1, 1, 2, 3, 9)) for _ in states[3:]]]
+    states[0], states[1] = (*states[0][:3], 0), (*states[1][:3], 200)
+    names = [f"F{i}" for i in range(sum(sizes))]
+    rng.shuffle(names)
+    rows = [(names.pop(), *state) for state, n in zip(states, sizes, strict=True) for _ in range(n)]
+    rows += [("nowhere", at, None, 5.0, 300), (None, *states[1]), ("never", None, *states[1][1:]), ("unknown", *states[1][:3], None)]
+    df = spark.createDataFrame(rows, "flight_id string, ts timestamp, lat double, lon double, ground_speed_kt int")
+    want = blocking.candidate_pairs(df.dropna(), 0.25, 300, mode).collect()
+    got = blocking.flight_pairs(blocking.state_pairs(df, 0.25, 300, mode)).select(*want[0].__fields__).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10_000
+
+
+@pytest.mark.parametrize("name", ["j2_blocking_pairs"])
+def test_pairs_of_repeated_states_take_few_bytes(spark, tmp_path, name, monkeypatch):
+    """Flights in the same place at the same time with the same speed are measured once for all of them, and their rows are written as runs."""
+    from skylane.operators import blocking
+
+    measured, close = [], blocking._close
+
+    def counted(pairs, *how):
+        measured.append(pairs.count())
+        return close(pairs, *how)
+
+    monkeypatch.setattr(blocking, "_close", counted)
+    sf = later_events(spark, tmp_path, times=70, shift=2_100, users=3_000)
+    out = str(tmp_path / "pairs.parquet")
+    QUERIES[name](spark, sf).write.parquet(out)
+    rows = spark.read.parquet(out).count()
+    assert sum(measured) < rows / 100
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs.parquet").glob("*.parquet")) < 3 * rows
+    columns, want = as_sql(sf, name)
+    assert sorted(map(str, map(tuple, spark.read.parquet(out).select(*columns).collect()))) == sorted(map(str, want))
+
+
 def test_flights_share_state_and_slices_are_single_batches(spark, tmp_path):
     """State has rows for buckets, not for flights; a slice of time written by several tasks is one batch, so that none of its rows is late."""
     import random
