@@ -167,7 +167,7 @@ def test_partners_are_found_without_pairs(spark, tmp_path, monkeypatch):
     equals_sql(spark, later_events(spark, tmp_path, times=20, users=1_000), "a4_partners")
 
 
-@pytest.mark.parametrize("mode", ["sphere"])
+@pytest.mark.parametrize("mode", ["sphere", "spheroid"])
 def test_flights_of_shared_states_are_paired(spark, mode):
     """More flights of one state than a row holds, still ones, places on both sides of a cell's edge, rows without a place or number; the same pairs and distances as flight by flight."""
     import random
@@ -189,7 +189,7 @@ def test_flights_of_shared_states_are_paired(spark, mode):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10_000
 
 
-@pytest.mark.parametrize("name", ["j2_blocking_pairs"])
+@pytest.mark.parametrize("name", ["j2_blocking_pairs", "j2_blocking_pairs_spheroid"])
 def test_pairs_of_repeated_states_take_few_bytes(spark, tmp_path, name, monkeypatch):
     """Flights in the same place at the same time with the same speed are measured once for all of them, and their rows are written as runs."""
     from skylane.operators import blocking
